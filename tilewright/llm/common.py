@@ -80,3 +80,28 @@ def utf8(texts: pa.Array) -> list[bytes]:
     if texts.null_count:
         found = [b"" if null else x for null, x in zip(texts.is_null().to_pylist(), found, strict=True)]
     return found
+
+
+#: A lookup table of up to so many rows is broadcast; a larger one is joined by salted shuffle.
+BROADCAST_ROWS, LOOKUP_SALTS = 100_000, 16
+
+
+def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
+    """df joined to a table with one row for each value of `on`, nulls being equal.
+
+    The table is counted first: if small it is broadcast, else df's hot keys are dealt over LOOKUP_SALTS tasks.
+    """
+    rows = small.count() if rows is None else rows
+    renamed = small.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)], *[c for c in small.columns if c not in on])
+    keys = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(on)]
+    made = [f"__k{i}" for i in range(len(on))]
+    if rows <= BROADCAST_ROWS:
+        return df.join(F.broadcast(renamed), keys, how).drop(*made)
+    left = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(LOOKUP_SALTS)).cast("int"))
+    right = renamed.withColumn("__dealt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
+    return left.join(right, [*keys, F.col("__salt") == F.col("__dealt")], how).drop(*made, "__salt", "__dealt")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]

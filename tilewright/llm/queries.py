@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import decontaminate, simhash
+from tilewright.llm import decontaminate, mixing, sharding, simhash
 from tilewright.llm.common import table
 
 
@@ -27,9 +27,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken", "shards")
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op5_simhash": op5_simhash,
+    "op6_sharding": op6_sharding,
+    "op7_mixing": op7_mixing,
 }
 
 OP3_SQL = r"""
