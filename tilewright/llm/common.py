@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -31,7 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="tilewright-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(where)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    return re.sub("^file:/+", "file:///", full)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import decontaminate, mixing, sharding, simhash
+from tilewright.llm import decontaminate, mixing, sharding, simhash, warc
 from tilewright.llm.common import table
 
 
@@ -22,6 +22,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    folder = written.select("folder").limit(1).collect()
+    if not folder:  # no pages, no archive
+        return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    archive = folder[0].folder
+    responses = warc.read_archives(spark, archive, ["page_id", "record_type", "payload"]).where("record_type = 'response'")
+    revisits = warc.read_archives(spark, archive, ["page_id", "record_type", "payload_length", "payload_digest", "refers_to_page_id"]).where("record_type = 'revisit'")
+    full = responses.select("page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("bigint").alias("refers_to"))
+    return full.union(revisits.select("page_id", "payload_length", warc.bare_digest(), "record_type", "refers_to_page_id"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,6 +50,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
@@ -66,4 +79,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM words LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 """
 
-SQL = {"op3_decontaminate": OP3_SQL}
+OP4_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM q
+"""
+
+SQL = {"op3_decontaminate": OP3_SQL, "op4_warc": OP4_SQL}
