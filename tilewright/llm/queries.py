@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import decontaminate, mixing, sharding, simhash, warc
-from tilewright.llm.common import table
+from tilewright.llm import ann, decontaminate, langid, mixing, sharding, simhash, tokencount, warc
+from tilewright.llm.common import crc32_of_id, table
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +52,30 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken", "shards")
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc32_of_id(F.col("doc_id")) % 3 == 1, F.lit(False))
+    profiles = langid.learn(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.identify(docs, profiles).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
+def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and of its lines; a token over a line's end goes to the line with most of its bytes."""
+    count = tokencount.counter(spark, rule="most")
+    found = table(spark, sf_dir, "documents").select("doc_id", count(tokencount.lines_of(F.col("text"))).alias("found"))
+    return found.select("doc_id", "found.n_tokens", F.size("found.counts").cast("bigint").alias("n_sections"), F.col("found.crossing").alias("n_crossing"), F.transform("found.counts", lambda x: x.cast("bigint")).alias("section_tokens"))
+
+
 QUERIES = {
+    "op1_ann": op1_ann,
     "op3_decontaminate": op3_decontaminate,
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op8_langid": op8_langid,
+    "op9_tokencount": op9_tokencount,
 }
 
 OP3_SQL = r"""
