@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import ann, decontaminate, langid, mixing, sharding, simhash, tokencount, warc
+from tilewright.llm import ann, decontaminate, langid, mixing, sharding, simhash, suffix_dedup, tokencount, warc
 from tilewright.llm.common import crc32_of_id, table
 
 
@@ -67,6 +67,12 @@ def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "found.n_tokens", F.size("found.counts").cast("bigint").alias("n_sections"), F.col("found.crossing").alias("n_crossing"), F.transform("found.counts", lambda x: x.cast("bigint")).alias("section_tokens"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x.stop - x.start)
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op3_decontaminate": op3_decontaminate,
@@ -76,6 +82,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_langid": op8_langid,
     "op9_tokencount": op9_tokencount,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 OP3_SQL = r"""
@@ -110,4 +117,21 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM q
 """
 
-SQL = {"op3_decontaminate": OP3_SQL, "op4_warc": OP4_SQL}
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS s
+  FROM (SELECT r, doc_id, h, unnest(range(0, CAST(length(h) // 2 AS BIGINT) - 49)) AS i FROM d WHERE length(h) >= 100 AND doc_id IS NOT NULL)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+hit AS (SELECT r, i FROM w JOIN m USING (s) WHERE least < doc_id),
+marked AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+runs AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM marked) GROUP BY r, g),
+pieces AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS p FROM runs),
+sums AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS z FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, CAST(2 * p + 1 AS BIGINT), CAST(2 * (a - p) AS BIGINT)), '' ORDER BY a) AS k FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k, '') || substr(h, CAST(2 * coalesce(z, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""
+
+SQL = {"op10_suffix_dedup": OP10_SQL, "op3_decontaminate": OP3_SQL, "op4_warc": OP4_SQL}
