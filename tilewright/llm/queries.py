@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import ann, decontaminate, langid, mixing, sharding, simhash, suffix_dedup, tokencount, warc
+from tilewright.llm import ann, decontaminate, langid, mixing, sharding, simhash, suffix_dedup, tokencount, toxicity, warc
 from tilewright.llm.common import crc32_of_id, table
 
 
@@ -13,6 +13,15 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc32_of_id(F.col("doc_id")) % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    model = toxicity.learn(docs, labels)
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.scorer(spark, model)("text").alias("score"))
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.overlap(docs, table(spark, sf_dir, "benchmark"), window=13)
@@ -75,6 +84,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ann": op1_ann,
+    "op2_toxicity": op2_toxicity,
     "op3_decontaminate": op3_decontaminate,
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,

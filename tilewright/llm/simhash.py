@@ -170,6 +170,11 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Rows with a null doc_id have no name in the result of near_duplicates and are all kept.
     """
-    keep = near_duplicates(docs, doc_id, text).where(f"component_id = doc_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(doc_id) == F.col("__keep"), "left_semi").dropDuplicates([doc_id])
+    keep = near_duplicates(docs, doc_id, text).where("component_id = doc_id").select(F.col("doc_id").alias("__keep")).distinct()
+    kept = docs.join(keep, F.col(doc_id) == F.col("__keep"), "left_semi")
+    # no more rows share an id than are repeated; only ids of several rows are dealt again
+    ids = staged(kept.groupBy(F.col(doc_id).alias("__id")).count().where("count > 1").select("__id"), "simhash-repeated")
+    if not ids.isEmpty():
+        once = kept.join(ids, F.col(doc_id) == F.col("__id"), "left_anti")
+        kept = once.unionByName(kept.join(ids, F.col(doc_id) == F.col("__id"), "left_semi").dropDuplicates([doc_id]))
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
