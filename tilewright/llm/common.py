@@ -1,17 +1,16 @@
-"""What the operators of this package share: scratch tables, table access, Arrow access to UTF-8 bytes."""
+"""What the operators of this package share: table access, lookups, Arrow access to UTF-8 bytes."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.shared import scratch, shared_dir, staged
+
+__all__ = ["crc32_of_id", "let", "lookup", "scratch", "shared_dir", "staged", "table", "text_batches", "utf8"]
+
 #: Rows of an Arrow batch: with texts of a few kB a batch holds some MB.
 BATCH_ROWS, BATCH_BYTES = "2000", "16m"
 
@@ -26,46 +25,6 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) an own temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tilewright-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(where)
-    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
-    return re.sub("^file:/+", "file:///", full)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # noqa: BLE001  the session may be gone by then
-        pass
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove_at_exit, spark, path)
-    return path
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
