@@ -5,12 +5,12 @@ other, at most one apart (law `rows`).
 
 Linked documents that start in the same shard move alike, so they are contracted to cells: the rows of a group that share
 their first shard and one of SUBS hash parts. A group has at most shards * SUBS cells, however many rows it has. In each
-round every cell learns how many rows of its group each shard holds and asks to move to the fullest one that has room;
-requests are admitted in hash order up to a quota for each pair of shards: what moves the other way, and a part of the
-room. Rounds work on cells and their small sums only, and each is written to the shared folder.
+round every cell learns how many rows of its group each shard holds and asks to move to the fullest one that has room, if
+that holds more than its own. A shard's room is its quota less the rows that want to stay, and requests are admitted in
+hash order up to it. Rounds work on cells and their small sums only, and each is written to the shared folder.
 
-At last the sizes are made exact: a shard's rows are ranked (linked ones first, cell by cell), and those beyond its quota
-fill the gaps of the others; as rows without links come last, they are what moves unless links alone overfill a shard.
+At last the sizes are made exact: a shard's rows are ranked (linked rows that want to stay, linked rows that do not, rows
+without links), and those beyond its quota fill the gaps of the others.
 
 Defined cases: a null text has no bytes and counts as equal to the empty one; null and repeated doc_ids are rows like any
 other; an empty table gives an empty result. Only the named columns are read.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import lookup, staged
 
-SHARDS, ROUNDS, SUBS, SEED = 8, 6, 64, 42
-QUEUE, BUCKET_ROWS = 256, 50_000
+SHARDS, ROUNDS, SUBS, SEED = 8, 10, 64, 42
+QUEUE, BUCKET_ROWS, NEARLY_FULL = 256, 50_000, 8
 GROUP = ["size", "text_crc32", "g"]
 CELL = [*GROUP, "s0", "sub"]
 
@@ -51,40 +51,39 @@ def linked_cells(rows: DataFrame) -> DataFrame:
     return cells.withColumn("all", F.sum("n").over(W.partitionBy(*GROUP))).where("all > 1").drop("all").withColumn("label", F.col("s0"))
 
 
-def _round(cells: DataFrame, room: list[int], turn: int) -> tuple[DataFrame, DataFrame]:
-    """Cells with the label they ask for (null: none), and the admitted requests."""
+def _asked(cells: DataFrame, room: list[int], least: int, turn: int) -> DataFrame:
+    """Cells with the shard they ask for in `to`, null if they want to stay; shards with no more room than `least` are as
+    full ones, lest many rows ask for the last places over and over."""
     free = F.array(*[F.lit(int(x)).cast("bigint") for x in room])
-    group = W.partitionBy(*GROUP)
     here = F.sum("n").over(W.partitionBy(*GROUP, "label"))
-    asked = cells.withColumn("here", here).withColumn("draw", F.xxhash64(*GROUP, "label"))
-    best = F.max(F.when(F.element_at(free, F.col("label") + 1) > 0, F.struct("here", "draw", "label"))).over(group)
-    asked = asked.withColumn("best", best)
+    seen = cells.withColumn("here", here).withColumn("draw", F.xxhash64(*GROUP, "label"))
+    best = F.max(F.when(F.element_at(free, F.col("label") + 1) > least, F.struct("here", "draw", "label"))).over(W.partitionBy(*GROUP))
     gains = (F.col("best.label") != F.col("label")) & (F.struct("best.here", "best.draw") > F.struct("here", "draw"))
-    asked = asked.withColumn("to", F.when(gains, F.col("best.label"))).withColumn("queue", F.pmod(F.xxhash64(F.lit(turn), *CELL), F.lit(QUEUE)).cast("int")).drop("here", "draw", "best")
-    flows = asked.where("`to` is not null").groupBy("label", "to", "queue").agg(F.sum("n").alias("n"))  # at most shards ** 2 * QUEUE rows
-    pair = F.sum("n").over(W.partitionBy("label", "to"))
-    flows = flows.withColumn("want", pair).withColumn("a", F.least("label", "to")).withColumn("b", F.greatest("label", "to"))
-    both = W.partitionBy("a", "b")
-    forth, back = F.max(F.when(F.col("label") == F.col("a"), F.col("want"))).over(both), F.max(F.when(F.col("label") == F.col("b"), F.col("want"))).over(both)
-    swap = F.least(F.coalesce(forth, F.lit(0)), F.coalesce(back, F.lit(0)))
-    part = F.floor(F.element_at(free, F.col("to") + 1) * F.col("want") / F.sum("n").over(W.partitionBy("to")))
-    allowed = flows.withColumn("most", swap + part).withColumn("run", F.sum("n").over(W.partitionBy("label", "to").orderBy("queue")))
-    return asked, allowed.where("run <= most").select("label", "to", "queue", F.lit(True).alias("admitted"))
+    queue = F.pmod(F.xxhash64(F.lit(turn), *CELL), F.lit(QUEUE)).cast("int")
+    return seen.withColumn("best", best).select(*CELL, "n", "label", F.when(gains, F.col("best.label")).alias("to"), queue.alias("queue"))
+
+
+def _admitted(asked: DataFrame, room: list[int]) -> DataFrame:
+    """to, queue of the requests that fit: at most shards * QUEUE rows."""
+    free = F.array(*[F.lit(int(x)).cast("bigint") for x in room])
+    flows = asked.where("`to` is not null").groupBy("to", "queue").agg(F.sum("n").alias("n"))
+    run = F.sum("n").over(W.partitionBy("to").orderBy("queue"))
+    return flows.withColumn("run", run).where(F.col("run") <= F.element_at(free, F.col("to") + 1)).select("to", "queue", F.lit(True).alias("admitted"))
 
 
 def propagate(cells: DataFrame, capacity: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """Cells with labels after some rounds; a shard takes no linked rows beyond its capacity, but for exchanges."""
-    now = staged(cells, "cells")
-    for turn in range(rounds):
-        load = {r["label"]: r["n"] for r in now.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # at most `shards` rows
+    """Cells with labels after some rounds, and settled: whether they want to stay there."""
+    now, room = staged(cells, "cells"), [capacity] * shards
+    for turn in range(rounds + 1):
+        asked = staged(_asked(now, room, capacity // NEARLY_FULL, turn), "cells")
+        load = {r["label"]: r["n"] for r in asked.where("`to` is null").groupBy("label").agg(F.sum("n").alias("n")).collect()}  # at most `shards` rows
         room = [max(0, capacity - load.get(s, 0)) for s in range(shards)]
-        asked, admitted = _round(now, room, turn)
-        admitted = staged(admitted, "admitted")
-        if admitted.isEmpty():
+        admitted = staged(_admitted(asked, room), "admitted")
+        if turn == rounds or admitted.isEmpty():
             break
-        moved = asked.join(F.broadcast(admitted), ["label", "to", "queue"], "left")  # at most shards ** 2 * QUEUE rows
+        moved = asked.join(F.broadcast(admitted), ["to", "queue"], "left")  # at most shards * QUEUE rows
         now = staged(moved.select(*CELL, "n", F.when(F.col("admitted"), F.col("to")).otherwise(F.col("label")).alias("label")), "cells")
-    return now
+    return asked.select(*CELL, "n", "label", F.col("to").isNull().alias("settled"))
 
 
 def _at(values: list[int], k: Column) -> Column:
@@ -92,7 +91,8 @@ def _at(values: list[int], k: Column) -> Column:
 
 
 def even(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Rows with label and linked, as shard and slot, shards being at most one row apart."""
+    """Rows with label and class (what has to move goes by it, the highest first) as shard and slot, shards being at most one
+    row apart."""
     counted = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # at most `shards` rows
     have = [counted.get(s, 0) for s in range(shards)]
     total = sum(have)
@@ -104,11 +104,11 @@ def even(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     buckets = max(16, total // BUCKET_ROWS)
     cell = F.xxhash64(*CELL)
     placed = rows.withColumn("cell", cell).withColumn("bucket", F.pmod("cell", F.lit(buckets)))
-    sums = placed.groupBy("label", "linked", "bucket").agg(F.count("*").alias("n"))
-    order = W.partitionBy("label").orderBy(F.desc("linked"), "bucket")
-    offsets = sums.select("label", "linked", "bucket", (F.sum("n").over(order) - F.col("n")).alias("offset"))
-    placed = lookup(placed, offsets, ["label", "linked", "bucket"], rows=2 * shards * buckets)
-    rank = F.col("offset") + F.row_number().over(W.partitionBy("label", "linked", "bucket").orderBy("cell", "doc_id", "size")) - 1
+    sums = placed.groupBy("label", "class", "bucket").agg(F.count("*").alias("n"))
+    order = W.partitionBy("label").orderBy("class", "bucket")
+    offsets = sums.select("label", "class", "bucket", (F.sum("n").over(order) - F.col("n")).alias("offset"))
+    placed = lookup(placed, offsets, ["label", "class", "bucket"], rows=3 * shards * buckets)
+    rank = F.col("offset") + F.row_number().over(W.partitionBy("label", "class", "bucket").orderBy("cell", "doc_id", "size")) - 1
     placed = placed.withColumn("rank", rank).withColumn("over", F.col("rank") - _at(quota, F.col("label")) + _at(first_excess, F.col("label")))
     stays = F.col("rank") < _at(quota, F.col("label"))
     to = sum((F.when(F.col("over") >= x, 1).otherwise(0) for x in first_gap[1:-1]), F.lit(0))
@@ -122,8 +122,9 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, doc_id:
     rows = staged(rows_of(docs, shards, doc_id, text), "shard-rows")
     total = rows.count()
     cells = propagate(linked_cells(rows), total // shards, shards, rounds)
-    labelled = rows.join(cells.select(*CELL, "label"), CELL, "left")
-    labelled = staged(labelled.withColumn("linked", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "s0")), "shard-labels")
+    labelled = rows.join(cells.select(*CELL, "label", "settled"), CELL, "left")
+    rank = F.when(F.col("label").isNull(), 2).when(F.col("settled"), 0).otherwise(1)
+    labelled = staged(labelled.select(*rows.columns, rank.alias("class"), F.coalesce("label", "s0").alias("label")), "shard-labels")
     return even(labelled, shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
