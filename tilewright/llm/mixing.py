@@ -153,7 +153,8 @@ def mixed(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     cut = cut.withColumn("__part", F.greatest(F.lit(0).cast("bigint"), F.least(F.col("__size"), F.col("part") - before)))
     both = whole.unionByName(cut)
     taken = F.col("full") * F.col("__size") + F.col("__part")
-    shards = F.slice("shards", F.lit(1), (F.col("full") + F.when(F.col("__part") > 0, 1).otherwise(0)).cast("int"))
+    passes = F.when(F.col("__size") == 0, 0).otherwise(F.col("full") + F.when(F.col("__part") > 0, 1).otherwise(0))
+    shards = F.slice("shards", F.lit(1), passes.cast("int"))
     return both.withColumns({"taken": taken.cast("bigint"), "shards": shards}).drop("__block", "blocks", "full", "words", "part", "__part")
 
 
