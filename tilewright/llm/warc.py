@@ -242,6 +242,8 @@ def records(stream, path: str, packed: bool, wanted: list[Callable[[dict], bool]
                     row["payload"] = block
                 yield row
             at = member.end(start + size + 4)
+            if at > end + 4:  # the last record may lack its closing line breaks
+                raise ValueError("the record is cut off")
         except (ValueError, zlib.error, struct.error) as error:
             raise ValueError(f"{path} at {at}: {error}") from error
 
