@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilewright.config import BATCH, LIVE_SENDING, PASSIVE, Odometry
+from tilewright.config import BATCH, LIVE, LIVE_SENDING, PASSIVE, Odometry
 from tilewright.functions import geo, geometry, quality, text
 from tilewright.operators import match, robust, survey, telemetry, track
-from tilewright.plans import views
+from tilewright.plans import runs, views
 from tilewright.shared import scratch
 from tilewright.sources import index, tiles
 from tilewright.streaming import telemetry as live
@@ -673,6 +673,51 @@ def robust_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.telemetry(spark, sf_dir).select("flight", "msg", "lat", "lon").groupBy("flight").applyInPandas(fit, "flight bigint, n bigint, good bigint, similar bigint, projective bigint, scale double")
 
 
+# Whole runs
+
+
+@query("run_captures", f"""WITH RECURSIVE {TELEMETRY_SQL}, h AS (SELECT *, {_hysteresis_sql(30, 10)} AS up FROM telemetry),
+f AS (SELECT flight, msg, ts, lat, lon, alt_m, inliers, abs(roll_deg) <= 15 AND abs(pitch_deg) <= 15 AS level, row_number() OVER (PARTITION BY flight ORDER BY ts, msg) AS k FROM h WHERE up = 1),
+r AS (SELECT flight, msg, k, CASE WHEN NOT level THEN ts - INTERVAL 11520 SECONDS ELSE ts END AS last, level AS shot FROM f WHERE k = 1
+      UNION ALL SELECT f.flight, f.msg, f.k, CASE WHEN f.ts - r.last < INTERVAL 4 HOURS THEN r.last WHEN NOT f.level THEN f.ts - INTERVAL 11520 SECONDS ELSE f.ts END, f.ts - r.last >= INTERVAL 4 HOURS AND f.level FROM r JOIN f ON f.flight = r.flight AND f.k = r.k + 1),
+s AS (SELECT f.*, CASE WHEN inliers >= 6 THEN lat + (f.msg % 50) * 1e-6 END AS lat_est, CASE WHEN inliers >= 6 THEN lon - (f.msg % 70) * 1e-6 END AS lon_est FROM f JOIN r ON f.flight = r.flight AND f.msg = r.msg AND r.shot)
+SELECT flight, msg, round({_hav_sql('lat', 'lon', 'lat_est', 'lon_est')}, 3) AS error_m, CASE WHEN inliers >= 10 THEN CASE WHEN inliers > 80 THEN 10e0 WHEN inliers >= 40 THEN 30e0 WHEN inliers >= 20 THEN 60e0 ELSE 100e0 END END AS hacc_m, inliers >= 10 AS sent FROM s""")
+def run_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.telemetry(spark, sf_dir)
+    estimates = rows.where(F.col("inliers") >= LIVE.min_inliers).select("flight", "msg", (F.col("lat") + (F.col("msg") % 50) * 1e-6).alias("lat_est"), (F.col("lon") - (F.col("msg") % 70) * 1e-6).alias("lon_est"), "inliers")
+    return runs.compared(runs.captures(rows, FOUR_HOURS), estimates).select("flight", "msg", F.round("error_m", 3).alias("error_m"), "hacc_m", "sent")
+
+
+@query("run_tracked", f"SELECT a.flight, a.leg, a.lat, a.lon, a.heading, b.hacc_m, b.hacc_m < 25 AS trusted FROM ({SQL['track_dead_reckoning']}) a JOIN ({SQL['track_accuracy']}) b ON a.flight = b.flight AND a.leg = b.leg")
+def run_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = runs.tracked(views.legs(spark, sf_dir), HOME)
+    return rows.select("flight", "leg", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), "heading", F.round("hacc_m", 6).alias("hacc_m"), "trusted")
+
+
+@query("run_leg_errors", f"""
+WITH {TELEMETRY_SQL}, n AS (SELECT flight, msg, alt_m, round(lat, 7) AS lat, round(lon, 7) AS lon, lead(round(lat, 7)) OVER w AS lat2, lead(round(lon, 7)) OVER w AS lon2 FROM telemetry WINDOW w AS (PARTITION BY flight ORDER BY ts, msg)),
+d AS (SELECT flight, msg, alt_m * 100 AS m, {_hav_sql('lat', 'lon', 'lat2', 'lon2')} AS t FROM n WHERE lat2 IS NOT NULL)
+SELECT flight, msg, round(t, 2) AS true_m, round(abs(m - t) / nullif(t, 0) * 100, 2) AS error_pct FROM d""")
+def run_leg_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("double")
+    named = views.telemetry(spark, sf_dir).withColumn("name", text.fix_name(F.col("lat"), F.col("lon"), none, none, none))
+    pairs = named.select("flight", "msg", "name", F.lead("name").over(telemetry.ordered()).alias("next_name"), (F.col("alt_m") * 100).alias("magnitude_m")).where("next_name is not null")
+    return runs.leg_errors(pairs).select("flight", "msg", F.round("true_m", 2).alias("true_m"), F.round("error_pct", 2).alias("error_pct"))
+
+
+@query("run_survey", f"""
+WITH {TELEMETRY_SQL}, p AS (SELECT flight, ts AS started, (msg // 10) % 5 AS pos_idx, (msg // 50) % 5 AS alt_idx, 20e0 + 10 * ((msg // 50) % 5) AS goal FROM telemetry WHERE msg % 10 = 0),
+r AS (SELECT p.flight, started, min(ts) AS ts FROM p JOIN telemetry t ON p.flight = t.flight AND ts >= started AND ts < started + INTERVAL 172800 SECONDS AND abs(t.alt_m - goal) <= 5 GROUP BY ALL),
+c AS (SELECT ['C', 'N', 'E', 'S', 'W'][pos_idx + 1] AS pos_name, goal AS alt_m, CASE WHEN t.inliers >= 6 THEN t.inliers / 4e0 END AS err_m FROM p LEFT JOIN r ON p.flight = r.flight AND p.started = r.started LEFT JOIN telemetry t ON r.flight = t.flight AND r.ts = t.ts)
+SELECT alt_m, {", ".join(f"min(CASE WHEN pos_name = '{p}' THEN err_m END) AS {chr(34)}{p}{chr(34)}" for p in PLACES)}, round(avg(err_m), 6) AS mean_err_m, count(err_m) AS n_cells FROM c GROUP BY alt_m""")
+def run_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, m = views.telemetry(spark, sf_dir), F.col("msg")
+    pos, alt = F.floor(m / 10) % 5, F.floor(m / 50) % 5
+    plan = rows.where("msg % 10 = 0").select("flight", F.col("ts").alias("started"), pos.alias("pos_idx"), F.element_at(F.array(*map(F.lit, PLACES)), (pos + 1).cast("int")).alias("pos_name"), alt.alias("alt_idx"), (20.0 + 10 * alt).alias("alt_m"))
+    errors = rows.where(F.col("inliers") >= LIVE.min_inliers).select("flight", "ts", (F.col("inliers") / 4.0).alias("err_m"))
+    return runs.survey_report(runs.survey_cells(rows, plan, errors, 5.0, 172800), PLACES).withColumn("mean_err_m", F.round("mean_err_m", 6))
+
+
 # Streams
 
 

@@ -76,3 +76,8 @@ def simulated_vehicle(spark: SparkSession, steps: int, lat0: float = 25.05, lon0
     w = W.partitionBy("flight").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = spark.range(steps).withColumn("flight", F.lit(0))
     return rows.select("flight", k.alias("step"), alt.alias("alt_m"), (lat0 + F.sum(1e-6 * F.sin(0.1 * k)).over(w)).alias("lat"), (lon0 + F.sum(1e-6 * F.cos(0.1 * k)).over(w)).alias("lon"))
+
+
+def write_home(rows: DataFrame, path: str) -> None:
+    """Home records (lat, lon, alt_msl, rel_alt, time) as JSON."""
+    rows.select(*HOME.fieldNames()).write.mode("overwrite").json(path)
