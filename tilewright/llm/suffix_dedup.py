@@ -44,8 +44,9 @@ SIDE = LENGTH - GRAM
 #: Windows of each range: SIDE + 1 of them in three ranges.
 STEP = (SIDE + 1) // 3
 #: Bytes of text for each shard, bytes of text for each final bucket, bits of the filter for each hash and at most.
-SHARD_BYTES, BUCKET_BYTES, FILTER_BITS, FILTER_MOST = 8 << 20, 12 << 20, 12, 1 << 29
-SEGMENT = 1 << 20
+SHARD_BYTES, BUCKET_BYTES, FILTER_BITS, FILTER_MOST = 4 << 20, 12 << 20, 12, 1 << 29
+#: Bytes hashed at once, and strings of one suffix array (classes of strings stay whole).
+SEGMENT, TEXT_STRINGS = 1 << 18, 4096
 NEVER = np.iinfo(np.int64).max
 
 _MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -366,6 +367,16 @@ def _smallest(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.n
     return order[first], np.minimum.reduceat(ids[order], first) if len(ids) else ids, member
 
 
+def _whole_classes(rows: np.ndarray, cls: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows, sorted by class, in pieces of about TEXT_STRINGS that cut no class."""
+    edges = np.append(np.flatnonzero(np.diff(cls, prepend=-1)), len(rows))
+    at = 0
+    while at < len(rows):
+        stop = int(edges[min(np.searchsorted(edges, at + TEXT_STRINGS), len(edges) - 1)])
+        yield rows[at:stop]
+        at = stop
+
+
 def window_owners(h: np.ndarray, sized: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each different context (hash of its anchor, sides with their sizes, smallest id) and each of its SIDE + 1
     windows: the smallest id of all contexts that have that window, NEVER where the document ends before it."""
@@ -393,19 +404,19 @@ def window_owners(h: np.ndarray, sized: np.ndarray, ids: np.ndarray) -> np.ndarr
         fits = there[:, :STEP] & np.stack([there[:, o + reach] for o in range(STEP)], 1)
         owner = np.where(fits, least[:, None], NEVER)
         many = np.flatnonzero(several)
-        if len(many):
-            mask = there[many]
-            text = frame[many][mask]
+        for part in _whole_classes(many, cls[many]):
+            mask = there[part]
+            text = frame[part][mask]
             last = np.cumsum(mask.sum(1)) - 1
             row, column = np.nonzero(mask)
             sa = np.array(suffix_array(text.tolist(), last.tolist()), np.int64)
             starts = np.zeros(mask.shape, bool)
-            starts[:, :STEP] = fits[many]
+            starts[:, :STEP] = fits[part]
             sa = sa[starts[mask][sa]]
             windows = text[sa[:, None] + np.arange(STEP)]
             first = np.flatnonzero(np.concatenate([[True], (windows[1:] != windows[:-1]).any(1)]))
-            run = np.repeat(np.minimum.reduceat(least[many][row[sa]], first), np.diff(np.append(first, len(sa))))
-            owner[many[row[sa]], column[sa]] = run
+            run = np.repeat(np.minimum.reduceat(least[part][row[sa]], first), np.diff(np.append(first, len(sa))))
+            owner[part[row[sa]], column[sa]] = run
         owners[use, j0 : j1 + 1] = owner[member]
     return owners
 
