@@ -203,7 +203,8 @@ class _Batch:
 
 
 def _shards_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    """Shards by a second hash, as anchors' own hashes are small ones."""
+    return ((h * _MULTIPLIERS[3] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -238,7 +239,7 @@ def _send_hashes(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
     for b in batches:
         x = _Batch(b.column(0), b.column(1))
         ids = x.ids[x.doc]
-        order = np.lexsort((ids, x.hash))
+        order = np.lexsort((ids, x.hash, _shards_of(x.hash, shards)))
         h, ids = x.hash[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         several = (ids[first] != ids[np.append(first[1:], len(h)) - 1]) if len(h) else np.zeros(0, bool)
@@ -336,7 +337,7 @@ def _send_contexts(batches: Iterator[pa.RecordBatch], shared, shards: int) -> It
         sides[:, SIDE:][steps >= right[:, None]] = 0
         sized = np.concatenate([sides, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], 1)
         key, ids = _row_hash(sized), x.ids[doc]
-        order = np.lexsort((ids, key, h))
+        order = np.lexsort((ids, key, h, _shards_of(h, shards)))
         h, key, ids, doc, at, sized = h[order], key[order], ids[order], doc[order], at[order] - (x.ends - x.sizes)[doc[order]], sized[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])]) if len(h) else np.zeros(0, bool)
         first, context = np.flatnonzero(new), np.cumsum(new) - 1
