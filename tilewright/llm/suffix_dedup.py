@@ -47,6 +47,8 @@ STEP = (SIDE + 1) // 3
 SHARD_BYTES, BUCKET_BYTES, FILTER_BITS, FILTER_MOST = 4 << 20, 12 << 20, 12, 1 << 29
 #: Bytes hashed at once, and strings of one suffix array (classes of strings stay whole).
 SEGMENT, TEXT_STRINGS = 1 << 18, 4096
+#: Spans that a task gathers before it deals them to buckets.
+SPANS_HELD = 1 << 19
 NEVER = np.iinfo(np.int64).max
 
 _MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -422,7 +424,20 @@ def window_owners(h: np.ndarray, sized: np.ndarray, ids: np.ndarray) -> np.ndarr
     return owners
 
 
+def _dealt(found: list[list[np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """Spans (ids, marks, starts, stops) as a row for each bucket."""
+    ids, marks, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
+    used, doc = np.unique(ids, return_inverse=True)
+    bucket = np.array([_signed(xxhash.xxh64_intdigest(struct.pack("<q", d), 42)) % buckets for d in used.tolist()], np.int64)[doc]
+    order = np.lexsort((start, ids, bucket))
+    ids, marks, start, stop = ids[order], marks[order], start[order], stop[order]
+    rows = [(b, pack(ids[k], marks[k], start[k], stop[k])) for b, k in _split(bucket[order], buckets)]
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+
+
 def _find_spans(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    found: list[list[np.ndarray]] = []
+    held = 0
     for _, rows in _grouped(batches):
         parts, of_batch, n, owners = [], {}, 0, None
         for kind, batch, blob in rows:
@@ -445,13 +460,13 @@ def _find_spans(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
             hits = owners[context[hit]] < ids[hit][:, None]
             start = at[hit] - SIDE + hits.argmax(1)
             stop = at[hit] - SIDE + (SIDE - hits[:, ::-1].argmax(1)) + LENGTH
-            local = local[hit]
-            used, local = np.unique(local, return_inverse=True)
-            bucket = np.array([_signed(xxhash.xxh64_intdigest(struct.pack("<q", d), 42)) % buckets for d in doc_ids[used].tolist()], np.int64)
-            order = np.lexsort((start, local, bucket[local]))
-            local, start, stop = local[order], start[order], stop[order]
-            found = [(b, pack(doc_ids[used][local[k]], marks[used][local[k]], start[k], stop[k])) for b, k in _split(bucket[local], buckets)]
-            yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["bucket", "blob"])
+            found.append([ids[hit], marks[local[hit]], start, stop])
+            held += len(hit)
+            if held >= SPANS_HELD:
+                yield _dealt(found, buckets)
+                found, held = [], 0
+    if held:
+        yield _dealt(found, buckets)
 
 
 def _signed(x: int) -> int:
