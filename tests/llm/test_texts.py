@@ -45,7 +45,7 @@ def test_mix(spark, docs, none):
     target = brute_targets(size)
     for r in rows:
         assert r.source_size == size[r.source] and r.target == pytest.approx(target[r.source])
-    assert {k: taken[k] for k in target} == {k: math.floor(v + 0.5) for k, v in target.items()}
+    assert all(abs(taken[k] - v) <= 0.5 + 1e-6 for k, v in target.items())
     again = mixing.mix(docs.drop("size", "taken").repartition(5)).collect()
     key = lambda r: (str(r.doc_id), str(r.text), r.taken, r.shards)
     assert sorted(map(key, rows)) == sorted(map(key, again))
