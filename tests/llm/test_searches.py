@@ -250,6 +250,24 @@ def test_nearest_vectors(spark):
     assert [v for v, _ in (found[750][k] for k in range(1, 6))] == [5, 700, 701, 702, 703]
 
 
+def test_nearest_among_many_near_copies():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 32))
+    hot = rng.permutation(3000)[:1000]
+    x[hot] = x[hot[0]] + 0.05 * rng.normal(size=(1000, 32))
+    x[hot[:200]] = x[hot[0]]  # more exact copies than the first shortlist holds
+    unit = ann._unit(x)
+    model = ann.fit(unit)
+    q_ids = np.sort(np.concatenate([hot[150:250], np.setdiff1d(np.arange(3000), hot)[:50]]))
+    found = list(ann._nearest(np.arange(3000), x, *model.encode(unit), q_ids, x[q_ids], model, 5, ann.SHORTLIST))
+    length = np.sqrt((x * x).sum(1))
+    for q, (query, ids, scores) in zip(q_ids, found, strict=True):
+        cosine = (x * x[q]).sum(1) / (length * length[q])
+        cosine[q] = -2
+        assert set(query) == {q} and ids.tolist() == np.lexsort((np.arange(3000), -cosine))[:5].tolist()
+        assert scores == pytest.approx(cosine[ids], abs=1e-12)
+
+
 def test_few_or_no_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (50, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
     rows = sorted(tuple(r) for r in ann.nearest(frame, F.col("vec_id") % 50 == 0).collect())

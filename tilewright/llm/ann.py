@@ -1,9 +1,10 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation.
 
 Codebooks hold full-dimensional vectors; a vector is coded as the sum of one entry of each, found by beam search over the
-residuals, and stored with the norm of that sum. A query's inner products with all entries make a lookup table, so the
-score of a coded row is a few table reads over its norm; the best rows of every block of rows are then scored exactly on
-the original vectors.
+residuals, and stored with the norm of that sum and of what it leaves. A query's inner products with all entries make a
+lookup table, so the score of a coded row is a few table reads over its norm; the best rows of every block of rows are then
+scored exactly on the original vectors. A row's cosine is at most its table reads and the norm of what its code leaves: every
+row for which that reaches the k-th best exact score is scored exactly too, so the result is that of scoring all rows.
 
 The codebooks are fitted on a sample of at most SAMPLE rows (those with the smallest hash of their id); every row is
 coded and searched. Queries go over all rows in blocks of about QUERY_BLOCK, each with its own written result, so
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import scratch, staged
 
 SAMPLE, BOOKS, ENTRIES, BEAM, TURNS = 8192, 8, 256, 4, 6
-#: Rows of a block, rows of it that are scored exactly for each query, queries of a pass and of one lookup table.
+#: Rows of a block, rows of it that are scored exactly for each query first, queries of a pass and of one lookup table.
 ROW_BLOCK, SHORTLIST, QUERY_BLOCK, TABLE_QUERIES = 8192, 64, 4096, 256
+#: What rounding may add to a score of single precision and to one of double precision.
+SINGLE, DOUBLE = 1e-4, 1e-9
 
 
 @dataclass
@@ -39,8 +42,8 @@ class Model:
 
     books: np.ndarray
 
-    def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and the norms of the decoded vectors, for rows of unit length."""
+    def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, the norms of the decoded vectors and of what these leave, for rows of unit length."""
         n, dim = x.shape
         rest, codes = x[:, None, :].astype(np.float32), np.zeros((n, 1, 0), np.uint8)
         for book in self.books:
@@ -54,8 +57,9 @@ class Model:
             codes = np.concatenate([np.take_along_axis(codes, from_[:, :, None], 1), entry[:, :, None].astype(np.uint8)], 2)
         pick = (rest * rest).sum(2).argmin(1)
         codes = codes[np.arange(n), pick]
-        decoded = x - rest[np.arange(n), pick]
-        return codes, np.maximum(np.sqrt((decoded * decoded).sum(1)), 1e-12).astype(np.float32)
+        left = rest[np.arange(n), pick]
+        decoded = x - left
+        return codes, np.maximum(np.sqrt((decoded * decoded).sum(1)), 1e-12).astype(np.float32), np.sqrt((left * left).sum(1)).astype(np.float32)
 
 
 def fit(x: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, turns: int = TURNS, seed: int = 7) -> Model:
@@ -100,7 +104,7 @@ def vectors_of(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
 
 
 def index(rows: DataFrame, sample: int = SAMPLE, **how) -> tuple[DataFrame, Model]:
-    """Every row with codes and norm, written to the shared folder; the model it was coded with."""
+    """Every row with codes, norm and error, written to the shared folder; the model it was coded with."""
     held = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(sample).collect()
     model = fit(_unit(np.array([r.x for r in held], np.float64)), **how)
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -108,36 +112,41 @@ def index(rows: DataFrame, sample: int = SAMPLE, **how) -> tuple[DataFrame, Mode
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes, norms = shared.value.encode(_unit(_matrix(b.column(1))))
-                yield pa.record_batch([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "x", "codes", "norm"])
+                codes, norms, errors = shared.value.encode(_unit(_matrix(b.column(1))))
+                yield pa.record_batch([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(errors)], names=["vec_id", "x", "codes", "norm", "error"])
 
-    return staged(rows.mapInArrow(code, "vec_id bigint, x array<double>, codes binary, norm float"), "ann-index"), model
+    return staged(rows.mapInArrow(code, "vec_id bigint, x array<double>, codes binary, norm float, error float"), "ann-index"), model
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, q_ids: np.ndarray, q: np.ndarray, model: Model, k: int, shortlist: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of one block of rows (by vec_id), each query's k best of the shortlist: query ids, ids, exact cosines."""
+def _nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, errors: np.ndarray, q_ids: np.ndarray, q: np.ndarray, model: Model, k: int, shortlist: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one block of rows (by vec_id), each query's k best: query ids, ids, exact cosines."""
     length = np.sqrt((x * x).sum(1))
     q_length = np.sqrt((q * q).sum(1))
+    units = _unit(x)
     for a in range(0, len(q), TABLE_QUERIES):
-        part = q[a : a + TABLE_QUERIES]
-        tables = np.einsum("qd,med->mqe", _unit(part).astype(np.float32), model.books, optimize=True)
+        part = _unit(q[a : a + TABLE_QUERIES])
+        tables = np.einsum("qd,med->mqe", part.astype(np.float32), model.books, optimize=True)
         scores = np.zeros((len(part), len(ids)), np.float32)
         for m in range(len(tables)):
             scores += np.take(tables[m], codes[:, m], axis=1)
-        scores /= norms
+        own = ids == q_ids[a : a + TABLE_QUERIES, None]
+        reach = np.where(own, -np.inf, scores + errors + np.float32(SINGLE))
+        scores = np.where(own, -np.inf, scores / norms)
         for i in range(len(part)):
-            s, query = scores[i], q_ids[a + i]
-            s[ids == query] = -np.inf
-            if len(s) > shortlist:
-                least = np.partition(s, len(s) - shortlist)[len(s) - shortlist]
-                sure = np.flatnonzero(s > least)
-                near = np.sort(np.concatenate([sure, np.flatnonzero(s == least)[: shortlist - len(sure)]]))
-            else:
-                near = np.arange(len(s))
-            near = near[s[near] > -np.inf]
-            exact = (x[near] * part[i]).sum(1) / (length[near] * q_length[a + i])
+            first = np.argpartition(scores[i], len(ids) - shortlist)[len(ids) - shortlist :] if len(ids) > shortlist else np.arange(len(ids))
+            sure = units[first[~own[i, first]]] @ part[i]
+            if len(sure) >= k:
+                reach[i, reach[i] < np.partition(sure, len(sure) - k)[len(sure) - k]] = -np.inf
+        reaching = reach > -np.inf
+        rows = np.flatnonzero(reaching.any(0))  # one product for all that some query asks for
+        close = np.where(reaching[:, rows], part @ units[rows].T, -np.inf)
+        for i in range(len(part)):
+            s = close[i]
+            least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+            near = rows[(s > -np.inf) & (s >= least - DOUBLE)]
+            exact = (x[near] * q[a + i]).sum(1) / (length[near] * q_length[a + i])
             best = np.lexsort((ids[near], -exact))[:k]
-            yield np.full(len(best), query), ids[near][best], exact[best]
+            yield np.full(len(best), q_ids[a + i]), ids[near][best], exact[best]
 
 
 def search(coded: DataFrame, model: Model, queries: DataFrame, k: int = 5, shortlist: int = SHORTLIST) -> DataFrame:
@@ -158,7 +167,7 @@ def search(coded: DataFrame, model: Model, queries: DataFrame, k: int = 5, short
                     continue
                 order = np.argsort(b.column(0).to_numpy(), kind="stable")
                 codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                hits = list(_nearest(b.column(0).to_numpy()[order], _matrix(b.column(1))[order], codes[order], b.column(3).to_numpy()[order], q_ids, q, model, k, shortlist))
+                hits = list(_nearest(b.column(0).to_numpy()[order], _matrix(b.column(1))[order], codes[order], b.column(3).to_numpy()[order], b.column(4).to_numpy()[order], q_ids, q, model, k, shortlist))
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*hits, strict=True)], names=["query_id", "vec_id", "score"])
 
         hits = coded.mapInArrow(found, "query_id bigint, vec_id bigint, score double")
