@@ -32,6 +32,19 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert found or sf_dir.endswith("sf0.001")
 
 
+def test_queries_over_all_rows(spark, sf_dir):
+    """The queries named ..._all leave out no event and no embedding."""
+    found = {name: QUERIES[f"{name}_all"](spark, sf_dir) for name in ("track_resend", "track_interpolate", "track_out_and_back", "survey_wait", "run_survey", "match_hamming")}
+    events, embeddings = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES)
+    assert found["track_resend"].select("msg").distinct().count() == events.count()
+    assert found["track_interpolate"].select("move").distinct().count() == events.count()
+    assert found["track_out_and_back"].count() == 20 * events.count()
+    assert found["survey_wait"].count() == events.count()
+    assert found["run_survey"].count() == 5
+    assert found["match_hamming"].count() == 2 * embeddings.count()
+    assert not [name for name in found if "% 10 = 0" in SQL[f"{name}_all"] or "% 5 = 0" in SQL[f"{name}_all"] or "% 100 = 0" in SQL[f"{name}_all"]]
+
+
 def test_queries_without_sql_have_rows(spark, sf_dir):
     for name in sorted(set(QUERIES) - set(SQL)):
         assert QUERIES[name](spark, sf_dir).count() > 0

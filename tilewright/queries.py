@@ -362,9 +362,18 @@ p AS (SELECT q.label AS tile_idx, q.vec_id AS query_idx, t.vec_id AS desc_id, bi
 r AS (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY dist, desc_id) AS rank FROM p)
 SELECT tile_idx, query_idx, desc_id, CAST(dist AS DOUBLE) AS dist, CAST(rank AS INT) AS rank FROM r WHERE rank <= 2""")
 def match_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hamming(spark, sf_dir, "desc_id % 5 = 0")
+
+
+@query("match_hamming_all", SQL["match_hamming"].replace(" WHERE q.vec_id % 5 = 0", ""))
+def match_hamming_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hamming(spark, sf_dir, "true")
+
+
+def _hamming(spark: SparkSession, sf_dir: str, asked: str) -> DataFrame:
     word = F.aggregate(F.sequence(F.lit(1), F.lit(62)), F.lit(0).cast("bigint"), lambda s, i: F.when(F.element_at("embedding", i) > 0, s + F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(s))
     t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("tile_idx"), F.col("vec_id").alias("desc_id"), F.array(word).alias("desc"))
-    q = t.where("desc_id % 5 = 0").withColumnRenamed("desc_id", "query_idx")
+    q = t.where(asked).withColumnRenamed("desc_id", "query_idx")
     return match.knn_within(q, t, ["tile_idx"], distance=match.hamming)
 
 
@@ -552,7 +561,16 @@ WITH {TELEMETRY_SQL}, s AS (SELECT flight, msg, ts, lead(ts) OVER (PARTITION BY
 u AS (SELECT flight, msg, ts, coalesce(greatest(ts, nxt - INTERVAL 1 MICROSECOND), ts) AS til FROM s)
 SELECT flight, msg, unnest(generate_series(ts, til, INTERVAL 3600 SECONDS)) AS sent FROM u""")
 def track_resend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track.resend(views.telemetry(spark, sf_dir).where("msg % 10 = 0").select("flight", "msg", "ts"), 3600).select("flight", "msg", "sent")
+    return _resent(views.telemetry(spark, sf_dir).where("msg % 10 = 0"))
+
+
+@query("track_resend_all", SQL["track_resend"].replace(" WHERE msg % 10 = 0", ""))
+def track_resend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resent(views.telemetry(spark, sf_dir))
+
+
+def _resent(rows: DataFrame) -> DataFrame:
+    return track.resend(rows.select("flight", "msg", "ts"), 3600).select("flight", "msg", "sent")
 
 
 @query("track_interpolate", f"""
@@ -561,7 +579,16 @@ n AS (SELECT *, CAST(greatest(1, floor(seconds * 5)) AS INT) AS n FROM m), e AS
 SELECT move, i, round(CASE WHEN i = n THEN lat1 ELSE lat0 + (lat1 - lat0) * (CAST(i AS DOUBLE) / n) END, 7) AS lat, round(CASE WHEN i = n THEN lon1 ELSE lon0 + (lon1 - lon0) * (CAST(i AS DOUBLE) / n) END, 7) AS lon,
        round(CASE WHEN i = n THEN 0 ELSE (lat1 - lat0) * 111111e0 / nullif(seconds, 0) END, 5) AS vn, round(CASE WHEN i = n THEN 0 ELSE (lon1 - lon0) * 111111e0 * cos(radians(lat0)) / nullif(seconds, 0) END, 5) AS ve FROM e""")
 def track_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = views.telemetry(spark, sf_dir).where("msg % 5 = 0").select(F.col("msg").alias("move"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), (F.col("lat") + 0.001).alias("lat1"), (F.col("lon") - 0.002).alias("lon1"), ((F.col("msg") % 7) / 2.0).alias("seconds"))
+    return _interpolated(views.telemetry(spark, sf_dir).where("msg % 5 = 0"))
+
+
+@query("track_interpolate_all", SQL["track_interpolate"].replace(" WHERE msg % 5 = 0", ""))
+def track_interpolate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _interpolated(views.telemetry(spark, sf_dir))
+
+
+def _interpolated(rows: DataFrame) -> DataFrame:
+    moves = rows.select(F.col("msg").alias("move"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), (F.col("lat") + 0.001).alias("lat1"), (F.col("lon") - 0.002).alias("lon1"), ((F.col("msg") % 7) / 2.0).alias("seconds"))
     return track.interpolate(moves, 5.0).withColumns({"lat": F.round("lat", 7), "lon": F.round("lon", 7), "vn": F.round("vn", 5), "ve": F.round("ve", 5)})
 
 
@@ -570,7 +597,16 @@ WITH {TELEMETRY_SQL}, p AS (SELECT msg, lat, lon, list_concat(range(1, 11), list
 w AS (SELECT msg, lat, lon, unnest(range(0, len(path))) AS i, unnest(path) AS k FROM p)
 SELECT msg, CAST(i AS INT) AS i, round(lat + k * 20e0 / 111111e0, 7) AS lat, round(lon, 7) AS lon FROM w""")
 def track_out_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.telemetry(spark, sf_dir).where("msg % 100 = 0").select("msg", F.posexplode(track.out_and_back(F.col("lat"), F.col("lon"))).alias("i", "p"))
+    return _waypoints(views.telemetry(spark, sf_dir).where("msg % 100 = 0"))
+
+
+@query("track_out_and_back_all", SQL["track_out_and_back"].replace(" WHERE msg % 100 = 0", ""))
+def track_out_and_back_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _waypoints(views.telemetry(spark, sf_dir))
+
+
+def _waypoints(rows: DataFrame) -> DataFrame:
+    rows = rows.select("msg", F.posexplode(track.out_and_back(F.col("lat"), F.col("lon"))).alias("i", "p"))
     return rows.select("msg", "i", F.round("p.lat", 7).alias("lat"), F.round("p.lon", 7).alias("lon"))
 
 
@@ -618,8 +654,16 @@ WITH {TELEMETRY_SQL}, s AS (SELECT flight, ts AS started FROM telemetry WHERE ms
 r AS (SELECT s.flight, started, min(ts) AS reached FROM s JOIN telemetry t ON s.flight = t.flight AND ts >= started AND ts < started + INTERVAL 86400 SECONDS AND abs(alt_m - 40) <= 2.5e0 GROUP BY ALL)
 SELECT s.flight, s.started, reached FROM s LEFT JOIN r ON s.flight = r.flight AND s.started = r.started""")
 def survey_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.telemetry(spark, sf_dir)
-    return survey.wait_until(rows.select("flight", "ts", "alt_m"), rows.where("msg % 10 = 0").select("flight", F.col("ts").alias("started")), F.abs(F.col("alt_m") - 40) <= 2.5, 86400)
+    return _waited(views.telemetry(spark, sf_dir), "msg % 10 = 0")
+
+
+@query("survey_wait_all", SQL["survey_wait"].replace(" WHERE msg % 10 = 0", ""))
+def survey_wait_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _waited(views.telemetry(spark, sf_dir), "true")
+
+
+def _waited(rows: DataFrame, starts: str) -> DataFrame:
+    return survey.wait_until(rows.select("flight", "ts", "alt_m"), rows.where(starts).select("flight", F.col("ts").alias("started")), F.abs(F.col("alt_m") - 40) <= 2.5, 86400)
 
 
 # Index and robust fits
@@ -711,9 +755,18 @@ r AS (SELECT p.flight, started, min(ts) AS ts FROM p JOIN telemetry t ON p.fligh
 c AS (SELECT ['C', 'N', 'E', 'S', 'W'][pos_idx + 1] AS pos_name, goal AS alt_m, CASE WHEN t.inliers >= 6 THEN t.inliers / 4e0 END AS err_m FROM p LEFT JOIN r ON p.flight = r.flight AND p.started = r.started LEFT JOIN telemetry t ON r.flight = t.flight AND r.ts = t.ts)
 SELECT alt_m, {", ".join(f"min(CASE WHEN pos_name = '{p}' THEN err_m END) AS {chr(34)}{p}{chr(34)}" for p in PLACES)}, round(avg(err_m), 6) AS mean_err_m, count(err_m) AS n_cells FROM c GROUP BY alt_m""")
 def run_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, m = views.telemetry(spark, sf_dir), F.col("msg")
+    return _surveyed(views.telemetry(spark, sf_dir), "msg % 10 = 0")
+
+
+@query("run_survey_all", SQL["run_survey"].replace(" WHERE msg % 10 = 0", ""))
+def run_survey_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _surveyed(views.telemetry(spark, sf_dir), "true")
+
+
+def _surveyed(rows: DataFrame, planned: str) -> DataFrame:
+    m = F.col("msg")
     pos, alt = F.floor(m / 10) % 5, F.floor(m / 50) % 5
-    plan = rows.where("msg % 10 = 0").select("flight", F.col("ts").alias("started"), pos.alias("pos_idx"), F.element_at(F.array(*map(F.lit, PLACES)), (pos + 1).cast("int")).alias("pos_name"), alt.alias("alt_idx"), (20.0 + 10 * alt).alias("alt_m"))
+    plan = rows.where(planned).select("flight", F.col("ts").alias("started"), pos.alias("pos_idx"), F.element_at(F.array(*map(F.lit, PLACES)), (pos + 1).cast("int")).alias("pos_name"), alt.alias("alt_idx"), (20.0 + 10 * alt).alias("alt_m"))
     errors = rows.where(F.col("inliers") >= LIVE.min_inliers).select("flight", "ts", (F.col("inliers") / 4.0).alias("err_m"))
     return runs.survey_report(runs.survey_cells(rows, plan, errors, 5.0, 172800), PLACES).withColumn("mean_err_m", F.round("mean_err_m", 6))
 
