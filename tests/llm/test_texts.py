@@ -290,6 +290,22 @@ def test_toxic_texts_are_found(spark, docs, none):
     assert none.select(score("text")).count() == 0
 
 
+def test_toxic_texts_of_many_words_are_found():
+    """300 toxic words, three in a text: each is rare, and together they are more than 1024 bytes."""
+    rng = random.Random(12)
+    bad = ["".join(rng.choice("bcdfghjkqtxyz") for _ in range(9)) for _ in range(300)]
+    rows = []
+    for i in range(2500):
+        w, toxic = prose(rng, rng.randint(20, 90)).split(), int(i % 4 == 0)
+        for _ in range(3 * toxic):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        rows.append((" ".join(w).encode(), toxic))
+    rng.shuffle(rows)
+    scorer = toxicity.fit(rows[:1900]).scorer()
+    found = [(scorer.score(t) >= 0.5, y) for t, y in rows[1900:]]
+    assert np.mean([s for s, y in found if y]) > 0.95 and np.mean([not s for s, y in found if not y]) > 0.95
+
+
 def test_toxicity_without_enough_text_to_train_on():
     model = toxicity.fit([(b"bad grumblex", 1), (b"good day to you", 0)])
     assert 0 <= model.scorer().score(b"grumblex") <= 1

@@ -1,13 +1,15 @@
 """Toxicity by compression distance: how much shorter is a window with a dictionary of toxic text than of ordinary text?
 
-Two zstandard dictionaries hold the same base, trained on ordinary text; one has segments of toxic text besides. Windows
-are a text's words, each between the same two pieces of the base (alone they would be too short to compress); a window's
-gain is its compressed length with the ordinary dictionary less that with the toxic one. A text's score comes from how
-many of its different windows gain so and so many bytes, by thresholds and weights calibrated on labelled texts.
-
-Which toxic segments are worth a place is found by the same distance: the labelled texts are cut in two, and a window that
-recurs in toxic texts of one half must be shorter with a dictionary of the other half's toxic text than with one of the
-ordinary text. Learning takes at most TOXIC_DOCS and ORDINARY_DOCS labelled rows (those with the smallest hash of id) of at
+Zstandard dictionaries hold the same base, trained on ordinary text; the toxic ones have segments of toxic text besides, one
+dictionary for each tier of evidence. Windows are a text's words, each between the same two pieces of the base (alone they
+would be too short to compress); a window's gains are its compressed length with the ordinary dictionary less that with
+each toxic one. A text's score comes from how many of its different windows gain so and so many bytes from which tier.
+
+Which segments are toxic is found by the same distance: the labelled texts are cut in two, and a window of the toxic texts
+of one half must be shorter with a dictionary of the other half's toxic text than with one of the ordinary text. All that
+recur and are commoner in toxic texts than in ordinary ones have a place, however many they are: the evidence (log-likelihood
+ratio of both rates) only names the tier, and calibration weighs the tiers. It does so on texts that the dictionaries were
+not made from, by FOLDS-fold cross-fitting. Learning takes at most TOXIC_DOCS and ORDINARY_DOCS labelled rows (those with the smallest hash of id) of at
 most SAMPLE_BYTES each; whole texts are scored, whatever their length.
 
 Defined cases: null and empty texts have no windows and the score of a text without gains; without labels of both kinds
@@ -19,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,11 @@ from pyspark.sql import types as T
 from tilewright.llm.common import text_batches, utf8
 
 TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_BYTES = 1500, 4500, 20_000
-BASE_BYTES, TOXIC_BYTES, PAD = 8192, 1024, 120
-LEAST_GAIN, RARER = 2, 8
+BASE_BYTES, PAD = 8192, 120
+LEAST_GAIN = 2
 GAINS = (2, 3, 4, 5)
+#: Least evidence of each tier of segments, strongest first; parts of the sample that calibrate in turn.
+TIERS, FOLDS = (40.0, 10.0, 0.0), 5
 LONGEST_WINDOW, CACHED = 200, 400_000
 
 
@@ -66,10 +71,10 @@ class Distance:
 
 @dataclass
 class Model:
-    """What one broadcast holds: the base, the toxic segments, and the calibration (weights of counts, then the offset)."""
+    """What one broadcast holds: the base, the toxic segments of each tier, and the calibration (weights of counts, then the offset)."""
 
     base: bytes = b""
-    segments: bytes = b""
+    segments: tuple[bytes, ...] = ()
     weights: tuple[float, ...] = ()
 
     def scorer(self) -> Scorer:
@@ -79,24 +84,33 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.distance = Distance(model.base, model.segments + model.base, model.base[-PAD:]) if model.weights else None
-        self.known: dict[bytes, int] = {}
+        self.distances = [(k, Distance(model.base, x + model.base, model.base[-PAD:])) for k, x in enumerate(model.segments) if x]
+        self.known: dict[bytes, list[int]] = {}
+
+    def reached(self, window: bytes) -> list[int]:
+        """Which counts a window adds to: those of each tier and each of GAINS that it gains at least."""
+        if not self.distances:
+            return []
+        data = self.distances[0][1].before + window + self.distances[0][1].after
+        plain = len(self.distances[0][1].ordinary.compress(data))
+        gains = [(k, plain - len(d.toxic.compress(data))) for k, d in self.distances]
+        return [k * len(GAINS) + j for k, g in gains for j, least in enumerate(GAINS) if g >= least]
 
     def counts(self, text: bytes) -> list[int]:
-        """How many different windows gain at least each of GAINS."""
+        """How many different windows gain at least each of GAINS, tier by tier."""
         if len(self.known) > CACHED:
             self.known = {}
-        known, gains = self.known, []
+        known, out = self.known, [0] * (len(TIERS) * len(GAINS))
         for w in set(windows(text)):
-            g = known.get(w)
-            if g is None:
-                g = known[w] = self.distance.gain(w)
-            if g >= GAINS[0]:
-                gains.append(g)
-        return [sum(g >= least for g in gains) for least in GAINS]
+            at = known.get(w)
+            if at is None:
+                at = known[w] = self.reached(w)
+            for j in at:
+                out[j] += 1
+        return out
 
     def score(self, text: bytes) -> float:
-        if self.distance is None:
+        if not self.model.weights:
             return 0.0
         return float(_logistic(_features(np.array([self.counts(text)])), np.array(self.model.weights))[0])
 
@@ -111,7 +125,7 @@ def _logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def _calibrated(counts: np.ndarray, y: np.ndarray, ridge: float = 0.5, turns: int = 50) -> np.ndarray:
     """Logistic regression by Newton's method."""
-    x, w = _features(counts), np.zeros(len(GAINS) + 1)
+    x, w = _features(counts), np.zeros(counts.shape[1] + 1)
     keep = ridge * np.eye(len(w))
     keep[-1, -1] = 1e-3
     for _ in range(turns):
@@ -136,34 +150,52 @@ def _joined(words: list[bytes]) -> bytes:
     return b" " + b"  ".join(words) + b" "
 
 
-def fit(labelled: list[tuple[bytes, int]]) -> Model:
-    """labelled: texts with 1 (toxic) or 0, in an order that does not depend on them."""
-    toxic, ordinary = [t for t, y in labelled if y], [t for t, y in labelled if not y]
-    if not toxic or not ordinary:
-        return Model()
-    base = _base(ordinary[: len(ordinary) // 2 + 1])
+def _evidence(toxic: int, of_toxic: int, ordinary: int, of_ordinary: int) -> float:
+    """The log-likelihood ratio of two rates against one."""
+
+    def log_likelihood(n: int, of: int, rate: float) -> float:
+        return (n * log(rate) if n else 0.0) + ((of - n) * log(1 - rate) if of > n else 0.0)
+
+    both = (toxic + ordinary) / (of_toxic + of_ordinary)
+    own = log_likelihood(toxic, of_toxic, toxic / of_toxic) + log_likelihood(ordinary, of_ordinary, ordinary / of_ordinary)
+    return max(0.0, 2 * (own - log_likelihood(toxic, of_toxic, both) - log_likelihood(ordinary, of_ordinary, both)))
+
+
+def _segments(base: bytes, toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, ...]:
+    """The toxic segments of each tier, in each those of most evidence last."""
     pad = base[-PAD:]
-    times: Counter = Counter()
     halves = [toxic[::2], toxic[1::2]] if len(toxic) > 1 else [toxic, toxic]
     in_ordinary = Counter(w for t in ordinary for w in set(windows(t)))
     in_halves = [Counter(w for t in half for w in set(windows(t))) for half in halves]
-    plain = _joined([w for w, n in sorted(in_ordinary.items(), key=lambda x: (x[1], x[0])) if n * RARER * len(toxic) >= (in_halves[0][w] + in_halves[1][w]) * len(ordinary)])
+    times, of_toxic = in_halves[0] + in_halves[1], len(halves[0]) + len(halves[1])
+    plain = _joined([w for w, n in sorted(in_ordinary.items(), key=lambda x: (x[1], x[0])) if n * of_toxic >= times[w] * len(ordinary)])
+    found = {}
     for own, other in ((0, 1), (1, 0)):
         d = Distance(plain + pad, _joined([w for w, n in sorted(in_halves[other].items(), key=lambda x: (x[1], x[0]))]) + pad, pad, 10)
-        least = max(2, len(halves[own]) // 100) if len(halves[own]) > 3 else 1
-        for w, n in in_halves[own].items():
-            if n >= least and in_ordinary[w] * RARER * len(halves[own]) <= n * len(ordinary) and d.gain(w) >= LEAST_GAIN:
-                times[w] += n
-    kept, size = [], 0
-    for w, _ in sorted(times.items(), key=lambda x: (-x[1], x[0])):
-        if size + len(w) + 2 <= TOXIC_BYTES:
-            kept.append(w)
-            size += len(w) + 2
-    model = Model(base, _joined(kept[::-1]) if kept else b"", (0.0,) * (len(GAINS) + 1))
-    scorer = model.scorer()
-    counts = np.array([scorer.counts(t) for t, _ in labelled], float)
-    model.weights = tuple(_calibrated(counts, np.array([y for _, y in labelled], float)).tolist())
-    return model
+        for w in in_halves[own]:
+            if w not in found and times[w] > 1 and in_ordinary[w] * of_toxic < times[w] * len(ordinary) and d.gain(w) >= LEAST_GAIN:
+                found[w] = _evidence(times[w], of_toxic, in_ordinary[w], len(ordinary))
+    ranked = sorted(found, key=lambda w: (found[w], w))
+    tiers = [[w for w in ranked if least <= found[w] < most] for most, least in zip((float("inf"), *TIERS), TIERS, strict=False)]
+    return tuple(_joined(x) if x else b"" for x in tiers)
+
+
+def fit(labelled: list[tuple[bytes, int]]) -> Model:
+    """labelled: texts with 1 (toxic) or 0, in an order that does not depend on them."""
+    toxic, ordinary = [t for t, y in labelled if y], [t for t, y in labelled if not y]
+    if not toxic or not ordinary:
+        return Model()
+    base = _base(ordinary[: len(ordinary) // 2 + 1])
+    counts, y = [], []
+    folds = min(FOLDS, len(toxic), len(ordinary))
+    for k in range(folds):
+        rest = [[t for i, t in enumerate(x) if i % folds != k or folds == 1] for x in (toxic, ordinary)]
+        scorer = Model(base, _segments(base, *rest)).scorer()
+        for texts, label in ((toxic[k::folds], 1), (ordinary[k::folds], 0)):
+            counts += [scorer.counts(t) for t in texts]
+            y += [label] * len(texts)
+    weights = _calibrated(np.array(counts, float), np.array(y, float))
+    return Model(base, _segments(base, toxic, ordinary), tuple(weights.tolist()))
 
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> list[tuple[bytes, int]]:
