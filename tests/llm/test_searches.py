@@ -160,6 +160,14 @@ def test_representatives(spark, docs):
     assert sorted(x for x in ids if x is not None) == sorted(named) and ids.count(None) == 2 and kept.columns == docs.columns
 
 
+def test_representatives_of_repeated_ids(spark):
+    rng = random.Random(21)
+    one, other, third = (prose(rng, 60) for _ in range(3))
+    rows = [(1, one), (1, other), (2, other), (3, one), (1, one), (4, third), (4, third), (None, third)]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", one), ("1", other), ("4", third), ("None", third)])
+
+
 # Repeated text
 
 

@@ -153,28 +153,41 @@ def links(fps: DataFrame, column: str = "fp") -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_scan_runs, "a bigint, b bigint").distinct()
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """nodes (one row for each fp) with root, which the fingerprints of a component share."""
+    roots = components(links(nodes), "a", "b")
+    return nodes.join(roots, nodes.fp == roots.node, "left").select(*[nodes[c] for c in nodes.columns], F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (signed) and component_id (the smallest doc_id reachable over links) for every row of docs."""
     text_batches(docs.sparkSession)
     prints = staged(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(text).alias("fp")), "simhash")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(links(nodes), "a", "b")
-    of_node = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of_node = _rooted(nodes)
     names = of_node.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(of_node.join(names, "root").select("fp", "component_id"), "simhash-named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs for each component: that with the smallest doc_id; of rows that share it, one.
+    """One row of docs for each component: that with the smallest doc_id; of rows that share it, one by fingerprint and text.
 
     Rows with a null doc_id have no name in the result of near_duplicates and are all kept.
     """
-    keep = near_duplicates(docs, doc_id, text).where("component_id = doc_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(doc_id) == F.col("__keep"), "left_semi")
-    # no more rows share an id than are repeated; only ids of several rows are dealt again
-    ids = staged(kept.groupBy(F.col(doc_id).alias("__id")).count().where("count > 1").select("__id"), "simhash-repeated")
+    text_batches(docs.sparkSession)
+    text_hash = F.xxhash64(text)
+    prints = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), fingerprint_of(text).alias("fp"), text_hash.alias("h"))
+    # null ids name no row, but what they link is linked
+    unnamed = docs.where(F.col(doc_id).isNull()).select(fingerprint_of(text).alias("fp")).distinct().withColumn("first", F.lit(None))
+    nodes = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "fp", "h")).alias("first")).unionByName(unnamed)
+    nodes = staged(nodes.groupBy("fp").agg(F.min("first").alias("first")), "simhash-nodes")
+    first = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first")).where("first is not null")
+    keep = staged(first.select(F.col("first.doc_id").alias("__keep"), F.col("first.h").alias("__h")), "simhash-kept")
+    kept = docs.join(keep, (F.col(doc_id) == F.col("__keep")) & (text_hash == F.col("__h")), "left_semi")
+    # no more rows share an id and a text than are repeated; only those are dealt again
+    ids = staged(kept.groupBy(F.col(doc_id).alias("__id"), text_hash.alias("__of")).count().where("count > 1").select("__id", "__of"), "simhash-repeated")
     if not ids.isEmpty():
-        once = kept.join(ids, F.col(doc_id) == F.col("__id"), "left_anti")
-        kept = once.unionByName(kept.join(ids, F.col(doc_id) == F.col("__id"), "left_semi").dropDuplicates([doc_id]))
+        again = (F.col(doc_id) == F.col("__id")) & (text_hash == F.col("__of"))
+        kept = kept.join(ids, again, "left_anti").unionByName(kept.join(ids, again, "left_semi").dropDuplicates([doc_id, text]))
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
