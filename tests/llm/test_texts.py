@@ -62,6 +62,19 @@ def test_drawn_copies(spark, docs, none):
     assert mixing.drawn_copies(none).count() == 0
 
 
+def test_copies_are_shuffled_within_shards(spark):
+    frame = spark.createDataFrame([(i, f"word{i} " * (i % 5 + 1), f"s{i % 3}") for i in range(900)], "doc_id bigint, text string, source string").coalesce(1)
+    rows = mixing.mix(frame).collect()
+    assert all(len(r.places) == len(r.shards) for r in rows)
+    wanted = []
+    for r in rows:
+        n = (2 * r.taken + r["__size"]) // (2 * r["__size"])
+        wanted += [(shard, place, r.doc_id) for shard, place in zip(r.shards[:n], r.places[:n], strict=True)]
+    got = [r.doc_id for r in mixing.drawn_copies(frame).collect()]
+    assert got == [i for _, _, i in sorted(wanted)] and len({shard for shard, _, _ in wanted}) == mixing.SHARDS
+    assert sum(a == b for a, b in zip(got, got[1:], strict=False)) < 20
+
+
 def test_splitting_tree_is_exact_and_even(spark):
     draws = [37, 1, 0, 120, 5]
     rows = mixing.split_quotas(spark.createDataFrame(list(enumerate(draws)), "rank int, draws bigint"), 8, 3).collect()

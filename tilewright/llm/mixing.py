@@ -7,6 +7,7 @@
    that the quota ends in, rows are taken in hash order and the last one in part, so the quota is met to the word.
 3. Splitting tree: the exact numbers of block draws of all sources are halved again and again by multivariate
    hypergeometric draws until each output shard has its own; shards then get disjoint ranges of the permuted draws.
+4. Local shuffle: each draw of a row has a seeded hash by shard, pass and row, and a shard's draws are in its order.
 
 The draws depend on seed, source and node only, so reruns agree. The tree's state is one row for each node with a number
 for each source, and never a row for each document.
@@ -141,8 +142,8 @@ def _block() -> Column:
     return F.pmod(F.col("__h"), F.col("blocks"))
 
 
-def mixed(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Prepared rows with source_size, target, taken (words) and shards (of each pass that takes of the row)."""
+def mixed(docs: DataFrame, blocks: DataFrame, seed: int = SEED) -> DataFrame:
+    """Prepared rows with source_size, target, taken (words), shards (of each pass that takes of the row) and places (in them)."""
     n = blocks.select(F.max("blocks"), F.count("*")).first()
     rows = lookup(docs, blocks.select("__source", "blocks").distinct(), ["__source"])
     rows = lookup(rows.withColumn("__block", _block()), blocks.drop("blocks"), ["__source", "__block"], rows=n[1] or 0)
@@ -155,22 +156,33 @@ def mixed(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     taken = F.col("full") * F.col("__size") + F.col("__part")
     passes = F.when(F.col("__size") == 0, 0).otherwise(F.col("full") + F.when(F.col("__part") > 0, 1).otherwise(0))
     shards = F.slice("shards", F.lit(1), passes.cast("int"))
-    return both.withColumns({"taken": taken.cast("bigint"), "shards": shards}).drop("__block", "blocks", "full", "words", "part", "__part")
+    out = both.withColumns({"taken": taken.cast("bigint"), "shards": shards})
+    places = F.transform("shards", lambda shard, i: F.xxhash64(F.lit(seed), shard, i, F.col("__h")))
+    return out.withColumn("places", places).drop("__block", "blocks", "full", "words", "part", "__part")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """docs with __size, source_size, target, taken and shards."""
-    rows = prepared(docs, doc_id, source, text)
+    """docs with __size, source_size, target, taken, shards and places: what a shard holds is ordered by its place."""
+    seed = how.get("seed", SEED)
+    rows = prepared(docs, doc_id, source, text, seed)
     narrow = staged(rows.select("__source", "__size", "__h"), "mix-rows")
-    return mixed(rows, plan(narrow, **how)).drop("__source", "__h")
+    return mixed(rows, plan(narrow, **how), seed).drop("__source", "__h")
 
 
 def drawn_copies(docs: DataFrame, **how) -> DataFrame:
-    """The mix as rows: each row of docs as often as it is taken (a part counts from a half on), columns as they were."""
+    """The mix as rows: each row of docs as often as it is taken (a part counts from a half on), columns as they were.
+
+    Partitions are in the order of shards, several to a shard, and rows in that of their places.
+    """
     columns = docs.columns
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(columns)])
     at = {c: f"__in{i}" for i, c in enumerate(columns)}
     found = mix(renamed, at["doc_id"], at["source"], at["text"], **how)
     copies = F.floor((F.col("taken") * 2 + F.col("__size")) / (F.greatest(F.col("__size"), F.lit(1)) * 2)).cast("int")
-    out = found.where("__size > 0").withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    out = found.where("__size > 0").withColumn("__copies", copies).where("__copies > 0")
+    drawn = F.slice(F.arrays_zip(F.col("shards").alias("shard"), F.col("places").alias("place")), F.lit(1), F.col("__copies"))
+    out = out.select(*at.values(), F.explode(drawn).alias("__at")).select(*at.values(), F.col("__at.shard").alias("__shard"), F.col("__at.place").alias("__place"))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // how.get("shards", SHARDS))
+    part = F.least(F.lit(parts - 1), F.floor((F.col("__place") / F.lit(2.0**64) + 0.5) * parts).cast("int"))
+    out = out.repartitionById(parts * how.get("shards", SHARDS), (F.col("__shard") * parts + part).cast("int")).sortWithinPartitions("__shard", "__place")
     return out.select(*[F.col(f"__in{i}").alias(c) for i, c in enumerate(columns)])
