@@ -289,3 +289,14 @@ def test_several_query_blocks(spark, monkeypatch):
     one = sorted(tuple(r) for r in ann.nearest(frame, F.col("vec_id") % 10 == 0).collect())
     monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
     assert sorted(tuple(r) for r in ann.nearest(frame, F.col("vec_id") % 10 == 0).collect()) == one and len(one) == 150
+
+
+def test_vectors_of_extreme_length(spark):
+    frame = spark.createDataFrame([(0, [1e200, 1e200]), (1, [1.0, 0.0]), (2, [2.0**-660, 0.0]), (2, [0.0, -(2.0**-560)])], "vec_id bigint, embedding array<double>")
+    rows = sorted(tuple(r) for r in ann.nearest(frame, F.col("vec_id") % 50 == 0).collect())
+    assert [r[:3] for r in rows] == [(0, 1, 1), (0, 2, 2), (0, 3, 2)] and [r[3] for r in rows] == pytest.approx([0.5**0.5, 0.5**0.5, -(0.5**0.5)], abs=1e-15)
+
+
+def test_blocks_of_many_items():
+    block = decontaminate.Block([(str(k), b"w%d v%d" % (k, k % 7)) for k in range(60_000)], 13)
+    assert block.start[-1] == 119_998 and block.names[block.item[-1]] == "59999" and block.longest == 2

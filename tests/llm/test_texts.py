@@ -372,3 +372,34 @@ def test_queries_and_sql_agree(spark, sf_dir):
         columns = sorted(frame.columns)
         wanted = sorted(map(str, con.execute(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall()))
         assert sorted(str(tuple(r)) for r in frame.select(*columns).collect()) == wanted
+
+
+def test_members_of_several_records(spark, tmp_path):
+    """Any record of a member is read, and what a stale file of a repeated task holds is not."""
+    many = b"".join(warc.record(k, "u", bytes([65 + k]) * n, "d", None, "t") for k, n in enumerate((0, 7, 200_000, 50, 3_000_000, 1)))
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(many) + gzip.compress(warc.record(6, "u", b"z", "d", None, "t")) + warc.gzip_member(many))
+    rows = warc.read_archives(spark, f"file://{tmp_path}", ["page_id", "payload"])
+    wanted = [(0, 0), (1, 7), (2, 200_000), (3, 50), (4, 3_000_000), (5, 1)]
+    assert sorted((r.page_id, len(r.payload)) for r in rows.collect()) == sorted(wanted * 2 + [(6, 1)])
+    assert sorted(r.page_id for r in rows.where("page_id > 3").select("page_id").collect()) == [4, 4, 5, 5, 6]
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.warc.gz").write_bytes(gzip.compress(many[:-2000]))
+    with pytest.raises(Exception, match="a.warc.gz at 0"):
+        warc.read_archives(spark, f"file://{tmp_path}/cut", ["page_id"]).collect()
+
+
+def test_stale_archives_and_empty_pages(spark, pages, tmp_path):
+    folder = f"file://{tmp_path}"
+    written = warc.write_archives(pages, folder).count()
+    (tmp_path / "part-00000-099.warc.gz").write_bytes(gzip.compress(warc.record(99, "u", b"z", "d", None, "t")))
+    assert written and warc.read_archives(spark, folder, ["page_id"]).count() == pages.count()
+    assert warc.write_archives(pages.where("false")).count() == 0
+
+
+def test_long_blanks_are_encoded():
+    vocabulary = open(tokencount.VOCABULARY, "rb").read()
+    encoding, lengths = tokencount.tokenizer(vocabulary)
+    for text in ("a" + " " * 200_000 + "bc  d", "a" + "\n" * 150_000 + "\tb", " \n" * 90_000, " " * 100_000 + "x" + "　" * 120_000, "\x1c" * 120_000 + " y"):
+        wanted = np.cumsum(lengths[np.array(encoding.encode_ordinary(text))])
+        assert tokencount.token_ends(text, vocabulary).tolist() == wanted.tolist()
+    assert tokencount.token_ends("a" + " " * 2_000_000 + "b", vocabulary)[-1] == 2_000_002

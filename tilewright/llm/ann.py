@@ -91,10 +91,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    scaled = x / np.abs(x).max(1, keepdims=True)  # squares of the components stay finite and above zero
+    scaled = _scaled(x)
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no cosine's digits but keeps squares finite and above zero."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def vectors_of(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, int]:
     """vec_id and x of the rows that take part, and their dimension."""
     rows = table.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull() & taking_part(F.col("x")))
@@ -120,6 +125,7 @@ def index(rows: DataFrame, sample: int = SAMPLE, **how) -> tuple[DataFrame, Mode
 
 def _nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, errors: np.ndarray, q_ids: np.ndarray, q: np.ndarray, model: Model, k: int, shortlist: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of one block of rows (by vec_id), each query's k best: query ids, ids, exact cosines."""
+    x, q = _scaled(x), _scaled(q)
     length = np.sqrt((x * x).sum(1))
     q_length = np.sqrt((q * q).sum(1))
     units = _unit(x)

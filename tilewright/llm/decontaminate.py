@@ -42,22 +42,24 @@ class Block:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        seqs, names, limits, width, starts = [], [], [], [], []
+        seqs, self.names, item, limits, width, starts, at = [], [], [], [], [], [], 0
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             if not ids:
                 continue
-            w, at = min(window, len(ids)), sum(map(len, seqs))
+            w = min(window, len(ids))
             seqs.append(ids)
-            names += [name] * len(ids)
+            item += [len(self.names)] * len(ids)
+            self.names.append(name)
             limits += [at + len(ids)] * len(ids)
             width += [w] * len(ids)
             starts += [at] * len(ids)
+            at += len(ids)
         self.words = np.array([x for s in seqs for x in s], np.int64)
-        self.names = names
+        self.item = np.array(item, np.int32)
         self.limit, self.width, self.start = (np.array(x, np.int64) for x in (limits, width, starts))
-        self.shortest = int(self.width.min()) if names else 0
-        self.longest = int((self.limit - self.start).max()) if names else 0
+        self.shortest = int(self.width.min()) if seqs else 0
+        self.longest = int((self.limit - self.start).max()) if seqs else 0
 
 
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -155,9 +157,9 @@ def _shard(docs: list[np.ndarray], block: Block) -> list[tuple[list, list, list]
         k = int(doc[a])
         out[k][0].append({"start": a - int(begins[k]), "stop": b - int(begins[k])})
     for x in pairs:
-        out[x // len(block.words)][1].append(block.names[x % len(block.words)])
+        out[x // len(block.words)][1].append(block.names[block.item[x % len(block.words)]])
     for k, i, w, size in sorted(matches):
-        out[k][2].append({"item_id": block.names[i], "item_word": i - int(block.start[i]), "doc_word": w, "words": size})
+        out[k][2].append({"item_id": block.names[block.item[i]], "item_word": i - int(block.start[i]), "doc_word": w, "words": size})
     return out
 
 

@@ -11,12 +11,14 @@ so a document's counts always add up to the count of the whole. Vocabularies are
 (byte-level BPE ranks, one base64 token and its rank to a line) and sent to the workers; nothing is trained.
 
 Defined cases: a null document has no parts and no tokens; null and empty parts have none; special tokens' strings are
-ordinary text; repeated rows count each; an empty table gives an empty result.
+ordinary text; texts of any length are encoded whole, runs of white space of any length included; repeated rows count each; an
+empty table gives an empty result. Only the column given is read, so others cannot clash.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from tilewright.llm.common import text_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the word pattern that belongs to this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space that the pattern would take as one piece and whose matcher overflows on runs of a million; such pieces are encoded without it.
+LONG_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{100000,}")
 RESULT = "struct<n_tokens:bigint,crossing:bigint,counts:array<double>>"
 _LOADED: dict[int, tuple] = {}
 
@@ -48,7 +52,13 @@ def tokenizer(vocabulary: bytes) -> tuple:
 def token_ends(text: str, vocabulary: bytes) -> np.ndarray:
     """Byte offsets behind each token of the whole text; tokens tile it."""
     encoding, lengths = tokenizer(vocabulary)
-    return np.cumsum(lengths[np.array(encoding.encode_ordinary(text), np.int64)]) if text else np.zeros(0, np.int64)
+    ids, at = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        stop = run.end() - (run.end() < len(text))  # the last one belongs to the piece that follows
+        ids += encoding.encode_ordinary(text[at : run.start()]) + encoding._encode_single_piece(text[run.start() : stop].encode())
+        at = stop
+    ids += encoding.encode_ordinary(text[at:])
+    return np.cumsum(lengths[np.array(ids, np.int64)])
 
 
 def allocate(token_ends: np.ndarray, part_ends: np.ndarray, rule: str = "most") -> tuple[np.ndarray, int]:

@@ -3,7 +3,8 @@
 The source plans partitions by file size, parses each record's headers first, judges pushed-down predicates on the header
 columns, and inflates and decodes a payload only if the record is wanted and the asked schema has `payload`. Records are
 gzip members of their own; the writer notes their length in the member's header (field "sl" of the WARC standard), so an
-unwanted record is skipped by a seek. Members without that note, and plain .warc files, are read too.
+unwanted record is skipped by a seek. Members without that note or of several records, and plain .warc files, are read too.
+Where a folder has the list of archives that the writer leaves, only those are read.
 
     spark.dataSource.register(WarcDataSource)
     spark.read.format("warc").schema("page_id bigint, payload binary").load(path).where("record_type = 'response'")
@@ -13,7 +14,7 @@ sources. Set spark.sql.python.filterPushdown.enabled for pushdown; without it Sp
 
 Defined cases: a null payload is written as empty; a null page id or url has no header and reads as null; white space and
 control characters of a url are percent-encoded; repeated rows write repeated records; no pages give no archive, and a
-folder without archives reads as no rows. A broken record raises ValueError naming file and offset.
+folder without archives reads as no rows. Only the named columns are read, so others cannot clash. A broken record raises ValueError naming file and offset.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ NUMBERS = {"content_length", "page_id", "refers_to_page_id", "payload_length"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPLIT_BYTES, FILE_BYTES, BATCH_ROWS, BATCH_BYTES, HEAD_BYTES = 64 << 20, 256 << 20, 1000, 8 << 20, 4096
 LEAST_PAYLOAD = 100
+#: The archives of a folder that count: a task that is repeated may leave one that its second run did not write.
+MANIFEST = "_archives"
 
 
 def record_uri(page_id: int | None, digest: str) -> str:
@@ -121,7 +124,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = "197
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root)
     written = with_revisits(pages, **columns).mapInArrow(partial(_write, folder=folder, date=date), "file string, records bigint, bytes bigint")
-    return staged(written, "warc-files").withColumn("folder", F.lit(folder))
+    written = staged(written, "warc-files")
+    with fs.open_output_stream(f"{root}/{MANIFEST}") as sink:  # one line for each archive, of FILE_BYTES if there is much
+        for r in written.select("file").toLocalIterator():
+            sink.write(f"{os.path.basename(r.file)}\n".encode())
+    return written.withColumn("folder", F.lit(folder))
 
 
 # Reading
@@ -136,12 +143,12 @@ class _Member:
     """The plain bytes of the gzip member (or plain record) at an offset, inflated as far as asked for."""
 
     def __init__(self, stream, at: int, packed: bool):
-        self.stream, self.at, self.packed, self.data, self.length = stream, at, packed, b"", None
+        self.stream, self.at, self.packed, self.data, self.length, self.plain = stream, at, packed, b"", None, 0
         if packed:
             stream.seek(at)
             head = stream.read(HEAD_BYTES)
             if len(head) >= 24 and head[3] & 4 and head[12:14] == b"sl":
-                self.length = struct.unpack_from("<I", head, 16)[0]
+                self.length, self.plain = struct.unpack_from("<II", head, 16)
             self.inflate, self.pending, self.read_to = zlib.decompressobj(31), head, at + len(head)
         else:
             self.read_to = at
@@ -177,15 +184,23 @@ class _Member:
         self.data = b"".join(parts)
         return self.data[:n]
 
-    def end(self, plain: int) -> int:
-        """The offset behind this record of so many plain bytes; inflates the rest only if no length was noted."""
+    def then(self, plain: int) -> int | None:
+        """Behind the record of so many plain bytes: None if this member holds another one (its bytes come next), else the
+        offset behind the member. Nothing more is inflated if the member's noted lengths say that the record is all of it."""
         if not self.packed:
             return self.at + plain
-        if self.length:
+        if self.length and self.plain <= plain:
             return self.at + self.length
-        while not self.inflate.eof:
-            self.data = b""
-            self.more(1 << 20)
+        self.length, left = None, plain
+        while left > len(self.data):
+            left, self.data = left - len(self.data), b""
+            if not self.more(1 << 20):
+                if left > 4:  # the last record may lack its closing line breaks
+                    raise ValueError("the record is cut off")
+                break
+        self.data = self.data[left:]
+        if self.data or self.more(HEAD_BYTES):
+            return None
         return self.read_to - len(self.inflate.unused_data)
 
 
@@ -223,10 +238,10 @@ def predicate(f: Filter) -> Callable[[dict], bool] | None:
 
 def records(stream, path: str, packed: bool, wanted: list[Callable[[dict], bool]], payload: bool) -> Iterator[dict]:
     """The wanted records of an archive."""
-    end, at = stream.size(), 0
+    end, at, member = stream.size(), 0, None
     while at < end:
         try:
-            member = _Member(stream, at, packed)
+            member = member or _Member(stream, at, packed)
             heads, start = _headers(member)
             row: dict = {"file": path, "offset": at}
             for name, header in HEADERS.items():
@@ -241,7 +256,10 @@ def records(stream, path: str, packed: bool, wanted: list[Callable[[dict], bool]
                         block = block.partition(b"\r\n\r\n")[2]
                     row["payload"] = block
                 yield row
-            at = member.end(start + size + 4)
+            behind = member.then(start + size + 4)
+            if behind is None:
+                continue
+            at, member = behind, None
             if at > end + 4:  # the last record may lack its closing line breaks
                 raise ValueError("the record is cut off")
         except (ValueError, zlib.error, struct.error) as error:
@@ -265,6 +283,11 @@ class WarcReader(DataSourceReader):
         info = fs.get_file_info(root)
         found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True))
         files = sorted((x.path, x.size) for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz")) and not os.path.basename(x.path).startswith("."))
+        listed = [x.path for x in found if x.is_file and os.path.basename(x.path) == MANIFEST]
+        for manifest in listed:
+            with fs.open_input_stream(manifest) as lines:
+                names = set(lines.read().decode().split("\n"))
+            files = [x for x in files if os.path.dirname(x[0]) != os.path.dirname(manifest) or os.path.basename(x[0]) in names]
         out, held, size = [], [], 0
         for path, n in files:
             if held and size + n > self.split:
