@@ -31,8 +31,28 @@ def display(status: Column, err_m: Column) -> Column:
 
 def wait_until(rows: DataFrame, starts: DataFrame, condition: Column, timeout_s: int) -> DataFrame:
     """flight, started, reached: the first row that meets the condition from the start on and before the time is over."""
-    inside = rows.join(starts, "flight").where(condition & (F.col("ts") >= F.col("started")) & (F.col("ts") < F.col("started") + F.make_interval(secs=F.lit(timeout_s))))
-    return starts.join(inside.groupBy("flight", "started").agg(F.min("ts").alias("reached")), ["flight", "started"], "left")
+    met = rows.where(condition).select("flight", F.col("ts").alias("started"), F.col("ts").alias("__met"), F.lit(1).alias("__side"))
+    asked = starts.select("flight", "started", F.lit(None).cast(met.schema["__met"].dataType).alias("__met"), F.lit(0).alias("__side"))
+    return _first_met(asked.unionByName(met), ["flight"], timeout_s).select("flight", "started", "reached")
+
+
+def _first_met(both: DataFrame, keys: list[str], timeout_s: int) -> DataFrame:
+    """Starts (__side 0) with the first row (__side 1) of their keys from then on and before the time is over: one window,
+    in which a start comes before rows of its time."""
+    ahead = W.partitionBy(*keys).orderBy("started", "__side").rowsBetween(W.currentRow, W.unboundedFollowing)
+    found = both.withColumn("__next", F.first("__met", ignorenulls=True).over(ahead)).where("__side = 0")
+    in_time = F.col("__next") < F.col("started") + F.make_interval(secs=F.lit(timeout_s))
+    return found.withColumn("reached", F.when(in_time, F.col("__next")))
+
+
+def first_near(rows: DataFrame, plan: DataFrame, tolerance_m: float, timeout_s: int) -> DataFrame:
+    """flight, started, alt_m, reached of a plan: the first row (flight, ts, alt_m) near the altitude in time. Rows meet the
+    different altitudes that their flight plans, and then one window for each altitude."""
+    goals = plan.select("flight", "alt_m").distinct()
+    near = rows.select("flight", "ts", F.col("alt_m").alias("__now")).join(goals, "flight").where(F.abs(F.col("__now") - F.col("alt_m")) <= tolerance_m)
+    met = near.select("flight", "alt_m", F.col("ts").alias("started"), F.col("ts").alias("__met"), F.lit(1).alias("__side"))
+    asked = plan.select("flight", "alt_m", "started", F.lit(None).cast(met.schema["__met"].dataType).alias("__met"), F.lit(0).alias("__side"))
+    return _first_met(asked.unionByName(met), ["flight", "alt_m"], timeout_s).select("flight", "started", "alt_m", "reached")
 
 
 def within_budget(cells: DataFrame, budget_s: float, order: list[str], key: str = "survey", seconds: str = "seconds") -> DataFrame:

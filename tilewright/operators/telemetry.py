@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.functions.quality import has_fix
 
@@ -51,67 +52,96 @@ def hysteresis(value: Column, high: float, low: float, window) -> Column:
     return F.coalesce(F.last(mark, ignorenulls=True).over(until_now(window)), F.lit(0))
 
 
-def fold(rows: DataFrame, step: Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]], schema: str, key: str = "flight", order: tuple[str, ...] = ("ts", "msg")) -> DataFrame:
+def _runs(keys: pa.Array) -> Iterator[tuple[object, int, int]]:
+    """(key, first row, row behind the last) of equal neighbours; nulls are equal, and so are NaNs."""
+    codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(codes)], strict=True):
+        yield keys[a].as_py(), a, b
+
+
+def fold(rows: DataFrame, step: Callable[[object, pa.RecordBatch], tuple[object, pa.RecordBatch]], schema: T.StructType, key: str = "flight", order: tuple[str, ...] = ("ts", "msg")) -> DataFrame:
     """An ordered fold for each key: step(state, rows) -> (state, output), called with pieces of the key's rows in order.
 
-    Keys are sorted together and streamed, so no key's rows are held at once; state is None at a key's start.
+    Keys are sorted together and streamed, so no key's rows are held at once; state is None at a key's start. A null key is
+    a key like any other. Rows with nulls in `order` come first.
     """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, now = None, object()
-        for frame in frames:
-            for k, part in frame.groupby(key, sort=False, dropna=False):
-                if k != now:
+        for batch in batches:
+            for k, a, b in _runs(batch.column(key)):
+                if not (k == now or k != k and now != now):
                     state, now = None, k
-                state, out = step(state, part)
+                state, out = step(state, batch.slice(a, b - a))
                 yield out
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def _with(part: pa.RecordBatch, columns: list[str], name: str, values: pa.Array) -> pa.RecordBatch:
+    return pa.record_batch([*[part.column(c) for c in columns], values], names=[*columns, name])
+
+
+def _micros(ts: pa.Array) -> list[int | None]:
+    return ts.cast(pa.timestamp("us", ts.type.tz)).cast(pa.int64()).to_pylist()
 
 
 def throttle(rows: DataFrame, interval_s: float, flight: str = "flight") -> DataFrame:
-    """flight, msg, ts, fire: greedy shots at least interval_s apart; each one starts the interval anew."""
-    gap = np.timedelta64(int(interval_s * 1e6), "us")
+    """flight, msg, ts, fire: greedy shots at least interval_s apart; each one starts the interval anew. Rows without a
+    time never fire."""
+    gap = int(interval_s * 1e6)
 
-    def step(last, part: pd.DataFrame):
-        ts = part["ts"].to_numpy("datetime64[us]")
+    def step(last, part: pa.RecordBatch):
+        unknown = part.column("ts").null_count  # they come first
+        ts = np.array(_micros(part.column("ts"))[unknown:], np.int64)
         fire, i = np.zeros(len(ts), bool), 0
         while True:
             if last is not None:
                 i = max(i, int(np.searchsorted(ts, last + gap)))
             if i >= len(ts):
-                return last, part[[flight, "msg", "ts"]].assign(fire=fire)
-            fire[i], last = True, ts[i]
+                return last, _with(part, [flight, "msg", "ts"], "fire", pa.array(np.concatenate([np.zeros(unknown, bool), fire])))
+            fire[i], last = True, int(ts[i])
             i += 1
 
-    kinds = dict(rows.dtypes)
-    return fold(rows.select(flight, "msg", "ts"), step, f"{flight} {kinds[flight]}, msg bigint, ts {kinds['ts']}, fire boolean", flight)
+    narrow = rows.select(flight, "msg", "ts")
+    return fold(narrow, step, T.StructType([*narrow.schema, T.StructField("fire", T.BooleanType())]), flight)
 
 
 def capture_slots(rows: DataFrame, interval_s: float, give_back: float = 0.8, flight: str = "flight") -> DataFrame:
     """flight, msg, outcome: what the throttled capture does at each row.
 
-    Within the interval it waits. A shot and a missing fix use the slot up; a tilted vehicle gets a part of it back.
-    rows: flight, msg, ts, fix (boolean), level (boolean).
+    Within the interval it waits. A shot, a missing fix and a camera that fails use the slot up; a tilted vehicle gets a
+    part of it back. rows: flight, msg, ts, fix, level and, if the camera can fail, camera (booleans). A null fix or level
+    counts as false, a null camera as true, and a row without a time waits.
     """
-    gap, back = np.timedelta64(int(interval_s * 1e6), "us"), np.timedelta64(int(interval_s * give_back * 1e6), "us")
+    rules = slot_rules(interval_s, give_back)
+    columns = ["fix", "level", *(["camera"] if "camera" in rows.columns else [])]
 
-    def step(last, part: pd.DataFrame):
+    def step(last, part: pa.RecordBatch):
         out = []
-        for ts, fix, level in zip(part["ts"].to_numpy("datetime64[us]"), part["fix"], part["level"], strict=True):
-            if last is not None and ts - last < gap:
-                out.append("wait")
-            elif not fix:
-                out.append("no fix")
-                last = ts
-            elif not level:
-                out.append("tilted")
-                last = ts - back
-            else:
-                out.append("shot")
-                last = ts
-        return last, part[[flight, "msg"]].assign(outcome=out)
-
-    return fold(rows.select(flight, "msg", "ts", "fix", "level"), step, f"{flight} {dict(rows.dtypes)[flight]}, msg bigint, outcome string", flight)
+        for ts, *flags in zip(_micros(part.column("ts")), *(part.column(c).to_pylist() for c in columns), strict=True):
+            last, outcome = rules(last, ts, *flags)
+            out.append(outcome)
+        return last, _with(part, [flight, "msg"], "outcome", pa.array(out, pa.string()))
+
+    narrow = rows.select(flight, "msg", "ts", *columns)
+    return fold(narrow, step, T.StructType([narrow.schema[flight], narrow.schema["msg"], T.StructField("outcome", T.StringType())]), flight)
+
+
+def slot_rules(interval_s: float, give_back: float = 0.8) -> Callable[..., tuple[int | None, str]]:
+    """(start of the last slot, time, fix, level, camera) -> (start of the slot now, outcome); times in microseconds."""
+    gap, back = int(interval_s * 1e6), int(interval_s * give_back * 1e6)
+
+    def rules(last: int | None, ts: int | None, fix: bool | None, level: bool | None, camera: bool | None = True) -> tuple[int | None, str]:
+        if ts is None or last is not None and ts - last < gap:
+            return last, "wait"
+        if not fix:
+            return ts, "no fix"
+        if not level:
+            return ts - back, "tilted"
+        return ts, "no photo" if camera is False else "shot"
+
+    return rules
 
 
 def complete_mission(items: DataFrame, mission: str = "mission", expected: str = "expected") -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.config import METRES_PER_DEGREE, Odometry
 from tilewright.operators.telemetry import fold, until_now
@@ -65,26 +65,31 @@ def dead_reckoning(legs: DataFrame, home: tuple[float, float, float]) -> DataFra
     return t.withColumns(speed).select("flight", "leg", "segment", "legs_since_anchor", "heading", "lat", "lon", "vn", "ve")
 
 
+def next_accuracy(h: float, ok: bool | None, confident: bool | None, anchor: bool | None, magnitude_m: float | None, anchor_m: float | None, cfg: Odometry) -> float:
+    """The accuracy after a leg, or of an anchor."""
+    if anchor:
+        return cfg.hacc_anchor_m if anchor_m is None else anchor_m
+    if not ok or magnitude_m is None:
+        return min(cfg.hacc_cap_m, h + cfg.fail_extra_m)
+    if confident:
+        return min(cfg.hacc_cap_m, math.hypot(h, cfg.confident_rate * magnitude_m))
+    return min(cfg.hacc_cap_m, math.hypot(h, cfg.low_rate * magnitude_m) + cfg.low_extra_m)
+
+
 def accuracy(legs: DataFrame, cfg: Odometry = Odometry()) -> DataFrame:
-    """flight, leg, hacc_m: the accuracy after each leg. Anchors set it; failed legs add to it; others combine it with a
-    share of their length; it is capped, so it is a fold and no running sum."""
-    def step(h, part: pd.DataFrame):
-        h = cfg.hacc_anchor_m if h is None else h
-        out = np.empty(len(part))
-        for i, (ok, confident, anchor, m) in enumerate(zip(part["ok"], part["confident"], part["anchor"], part["magnitude_m"], strict=True)):
-            if anchor:
-                h = cfg.hacc_anchor_m
-            elif not ok:
-                h = min(cfg.hacc_cap_m, h + cfg.fail_extra_m)
-            elif confident:
-                h = min(cfg.hacc_cap_m, math.hypot(h, cfg.confident_rate * m))
-            else:
-                h = min(cfg.hacc_cap_m, math.hypot(h, cfg.low_rate * m) + cfg.low_extra_m)
-            out[i] = h
-        return h, part[["flight", "leg"]].assign(hacc_m=out)
-
-    columns = ["flight", "leg", "ts", "ok", "confident", "anchor", "magnitude_m"]
-    return fold(legs.select(*columns), step, "flight bigint, leg bigint, hacc_m double", "flight", ORDER)
+    """flight, leg, hacc_m: the accuracy after each leg. Anchors set it, to their own if they have one (anchor_hacc_m);
+    failed legs add to it; others combine it with a share of their length; it is capped, so it is a fold and no running sum."""
+    columns = ["ok", "confident", "anchor", "magnitude_m", *(["anchor_hacc_m"] if "anchor_hacc_m" in legs.columns else [])]
+
+    def step(h, part: pa.RecordBatch):
+        h, out = cfg.hacc_anchor_m if h is None else h, []
+        for ok, confident, anchor, m, *own in zip(*(part.column(c).to_pylist() for c in columns), strict=True):
+            h = next_accuracy(h, ok, confident, anchor, m, own[0] if own else None, cfg)
+            out.append(h)
+        return h, pa.record_batch([part.column("flight"), part.column("leg"), pa.array(out, pa.float64())], names=["flight", "leg", "hacc_m"])
+
+    narrow = legs.select("flight", "leg", "ts", *columns)
+    return fold(narrow, step, T.StructType([narrow.schema["flight"], narrow.schema["leg"], T.StructField("hacc_m", T.DoubleType())]), "flight", ORDER)
 
 
 def resend(states: DataFrame, every_s: int, flight: str = "flight", order: tuple[str, ...] = ("ts", "msg")) -> DataFrame:

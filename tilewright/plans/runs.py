@@ -32,10 +32,8 @@ def compared(shots: DataFrame, estimates: DataFrame, cfg: Localizer = LIVE) -> D
 def survey_cells(rows: DataFrame, plan: DataFrame, errors: DataFrame, tolerance_m: float, timeout_s: int) -> DataFrame:
     """Cells of a survey plan (flight, started, pos_idx, pos_name, alt_idx, alt_m): measured if the altitude was reached
     in time and an estimate's error is known for that row (flight, ts, err_m), else NOFIX or NOT_TESTED."""
-    parts = rows.select("flight", "ts", F.col("alt_m").alias("now_m")).join(plan.select("flight", "started", "alt_m"), "flight")
-    near = parts.where((F.abs(F.col("now_m") - F.col("alt_m")) <= tolerance_m) & (F.col("ts") >= F.col("started")) & (F.col("ts") < F.col("started") + F.make_interval(secs=F.lit(timeout_s))))
-    reached = near.groupBy("flight", "started").agg(F.min("ts").alias("ts"))
-    cells = plan.join(reached, ["flight", "started"], "left").join(errors, ["flight", "ts"], "left")
+    reached = survey.first_near(rows, plan, tolerance_m, timeout_s).withColumnRenamed("reached", "ts").distinct()
+    cells = plan.join(reached, ["flight", "started", "alt_m"], "left").join(errors, ["flight", "ts"], "left")
     status = F.when(F.col("ts").isNull(), "NOT_TESTED").when(F.col("err_m").isNull(), "NOFIX").otherwise("OK")
     return cells.select("flight", "started", "pos_idx", "pos_name", "alt_idx", "alt_m", status.alias("status"), "err_m")
 
