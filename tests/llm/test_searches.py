@@ -185,6 +185,52 @@ def test_suffix_array_by_linear_grouping():
     assert suffix_dedup.suffix_array([], []) == []
 
 
+def test_suffix_arrays_in_lockstep():
+    rng = random.Random(2)
+    for _ in range(150):
+        flat, ends, sizes, wanted = [], [], [], []
+        for _ in range(rng.randint(0, 6)):
+            text, own = [], []
+            for _ in range(rng.randint(1, 4)):
+                text += [rng.randint(1, rng.choice([1, 2, 3, 9])) for _ in range(rng.randint(0, 14))]
+                own.append(len(text))
+                text.append(0)
+            wanted += [len(flat) + k for k in suffix_dedup.suffix_array(text, own)]
+            ends += [len(flat) + e for e in own]
+            flat += text
+            sizes.append(len(text))
+        is_end = np.zeros(len(flat), bool)
+        is_end[ends] = True
+        assert suffix_dedup.suffix_arrays(np.array(flat, np.int16), is_end, np.array(sizes, np.int64)).tolist() == wanted
+
+
+@pytest.mark.parametrize("shared", [0, 1 << 40])
+def test_window_owners_equal_brute_force(shared, monkeypatch):
+    """Many surroundings of one anchor, cut again and again, sorted in lockstep or one by one."""
+    monkeypatch.setattr(suffix_dedup, "SHARED_STEPS", shared)
+    side, rng = suffix_dedup.SIDE, np.random.default_rng(5)
+    sides = rng.integers(97, 99, (300, 2 * side)).astype(np.uint8)
+    sides[:, :20] = sides[rng.integers(0, 3, 300), :20]
+    sides[:, 30:] = sides[rng.integers(0, 4, 300), 30:]
+    left, right = (rng.choice([side, side, 20, 3, 0], 300) for _ in range(2))
+    sides[:, :side][np.arange(side) < side - left[:, None]] = 0
+    sides[:, side:][np.arange(side) >= right[:, None]] = 0
+    sized = np.unique(np.concatenate([sides, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], 1), axis=0)
+    h, ids = rng.integers(1, 3, len(sized)).astype(np.uint64), rng.permutation(len(sized))
+    owners = {}
+    for k, x in enumerate(sized.tolist()):
+        for j in range(side + 1):
+            if x[-2] >= side - j and x[-1] >= j:
+                owners.setdefault((int(h[k]), j, tuple(x[j : j + side])), []).append(k)
+    wanted = np.full((len(sized), side + 1), suffix_dedup.NEVER)
+    for (_, j, _), rows in owners.items():
+        wanted[rows, j] = ids[rows].min()
+    order = np.argsort(h, kind="stable")
+    for strings in (4096, 40, 2):
+        monkeypatch.setattr(suffix_dedup, "TEXT_STRINGS", strings)
+        assert (suffix_dedup.window_owners(h[order], sized[order], ids[order]) == wanted[order]).all()
+
+
 def brute_repeats(rows, n=50):
     own = {}
     for d, t in rows:

@@ -2,26 +2,28 @@
 
 A byte goes if a string of `length` (50) bytes that covers it also starts in a document with a smaller id.
 
-1. Anchors. Of the GRAM-byte grams of each 50-byte string, the one with the smallest hash is its anchor: chosen by content
+1. Routing. Of the GRAM-byte grams of each 50-byte string, the one with the smallest hash is its anchor: chosen by content
    alone, so equal strings have equal anchors, and about one position in 14 is one. Anchors are dealt to shards by hash.
-2. Those that occur in one document only are of no use: a first pass finds the others' hashes (each shard for itself) and
+   Those that occur in one document only are of no use: a first pass finds the others' hashes (each shard for itself) and
    leaves a filter of bounded size, which may let more pass but never holds one back.
-3. A second pass sends each shard the different contexts of its anchors (up to 26 bytes on both sides: all 50-byte strings
-   that hold the anchor), with the smallest id that has each, and then where they occur.
-4. A shard cuts contexts into three ranges of strings. Those that share a range's core but not all around it go into one
-   text, a suffix array of which brings equal strings together; each string learns the smallest id that has it.
-5. Occurrences with a larger id become spans, which meet their documents by id.
+2. Text of a shard: a second pass sends it the text around its anchors (up to 26 bytes on both sides: all 50-byte strings
+   that hold the anchor), with the smallest id that has it. Text that is the same on both sides travels and is sorted once.
+3. Suffix arrays over all of a shard's text bring equal strings together, whatever differs around them; each string learns
+   the smallest id that has it. A text is what surrounds one anchor; many texts are sorted in lockstep.
+4. Those ids go back to the batch of documents that sent the text, which turns them into spans of its documents; spans meet
+   their documents by id.
 
 The suffix array is built in linear time: suffixes are grouped by their Lyndon prefix, from the highest group down; the
 previous smaller positions of a group's suffixes move to groups of their own just above their old ones. One walk over
 these pointers then emits the order within the groups, with no renaming or recursion.
 
-Batches travel as packed columns, repeats within a batch once, so a passage in a third of all documents sends one context
-for each batch, and its occurrences are streamed and never held.
+A passage in a third of all documents sends its text once for each batch; its occurrences stay with their batch, so no
+task holds all of them. An anchor with more than TEXT_STRINGS different surroundings is cut into texts by what its strings
+hold beside the gram, exactly. Shards and buckets are many, partitions at most MOST_PARTS, one after another in each.
 
 Defined cases: null and empty texts have no bytes; rows with a null id lose nothing and take nothing from others; rows
 that repeat an id do not count as smaller than each other; texts shorter than `length` are kept; an empty table gives an
-empty result. Only the named columns are read.
+empty result. Only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -41,12 +43,15 @@ from tilewright.llm.common import staged, text_batches, utf8
 
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM
-#: Windows of each range: SIDE + 1 of them in three ranges.
-STEP = (SIDE + 1) // 3
+#: First and last window of the ranges that an anchor's texts are cut to when they are too many.
+RANGES = (((0, SIDE),), ((0, 8), (9, 17), (18, SIDE)), tuple((j, j) for j in range(SIDE + 1)))
 #: Bytes of text for each shard, bytes of text for each final bucket, bits of the filter for each hash and at most.
 SHARD_BYTES, BUCKET_BYTES, FILTER_BITS, FILTER_MOST = 4 << 20, 12 << 20, 12, 1 << 29
-#: Bytes hashed at once, and strings of one suffix array (classes of strings stay whole).
+MOST_PARTS = 8192
+#: Bytes hashed at once, and strings that are sorted at once (a text stays whole).
 SEGMENT, TEXT_STRINGS = 1 << 18, 4096
+#: Texts are sorted in lockstep if the steps of the longest are shared by so many symbols, else one by one.
+SHARED_STEPS = 64
 #: Spans that a task gathers before it deals them to buckets.
 SPANS_HELD = 1 << 19
 NEVER = np.iinfo(np.int64).max
@@ -141,6 +146,112 @@ def suffix_array(text: list[int], ends: list[int]) -> list[int]:
     return sa
 
 
+def suffix_arrays(text: np.ndarray, is_end: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The suffix arrays of texts (of so many symbols each) one behind another, as positions in the whole: as suffix_array
+    does for each alone, one group of every text at a time."""
+    n = len(text)
+    stop = np.cumsum(sizes)
+    first = stop - sizes
+    none = n  # stands for no position
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    values = np.where(is_end, 0, text.astype(np.int64))
+    order = np.lexsort((values, owner))
+    sa = order  # groups are runs of slots, named by their first slot; those of a text ascend
+    isa = np.empty(n + 1, np.int64)
+    isa[sa] = np.arange(n)
+    new = np.ones(n, bool)
+    new[1:] = (values[sa][1:] != values[sa][:-1]) | (owner[sa][1:] != owner[sa][:-1])
+    slot = np.arange(n)
+    group = np.empty(n + 1, np.int64)
+    group[sa] = np.maximum.accumulate(np.where(new, slot, 0))
+    group[np.flatnonzero(is_end)] = -1
+    group[n] = -1
+    size = np.zeros(n + 1, np.int64)
+    starts = np.flatnonzero(new)
+    size[starts] = np.diff(np.append(starts, n))
+    n_ends = np.bincount(owner[is_end], minlength=len(sizes))
+    bottom = first + n_ends
+    prev = np.full(n + 1, none)
+    done, moves, is_first, placed = (np.zeros(n + 1, bool) for _ in range(4))
+    is_first[first[sizes > 0]] = True
+    top = stop.copy()
+    live = np.flatnonzero(top > bottom)
+    while len(live):
+        # the highest group of each text that is not done yet
+        t = top[live]
+        g = group[sa[t - 1]]
+        m = t - g
+        top[live] = g
+        k = m.sum()
+        if k == len(live):
+            i = sa[g]
+        else:
+            c = np.cumsum(m)
+            i = sa[np.arange(k) + np.repeat(g - (c - m), m)]
+        done[i] = True
+        j = np.where(is_first[i], none, i - 1)
+        prev[i] = j
+        open_ = np.flatnonzero(done[j])
+        while len(open_):
+            nxt = prev[j[open_]]
+            j[open_] = nxt
+            prev[i[open_]] = nxt
+            open_ = open_[done[nxt]]
+        target = j[group[j] >= 0]
+        if len(target):  # these leave their groups for new ones above, the more often met the higher
+            target.sort()
+            at = np.flatnonzero(np.diff(target, prepend=-1))
+            u = target[at]
+            times = np.diff(np.append(at, len(target)))
+            old = group[u]
+            o = np.lexsort((times, old))
+            u, times, old = u[o], times[o], old[o]
+            other = np.diff(old, prepend=-1) != 0
+            at = np.flatnonzero(other)
+            per = np.diff(np.append(at, len(u)))
+            base = old[at]
+            begin_slot = base + size[base] - per
+            slots = np.arange(len(u)) + np.repeat(begin_slot - at, per)
+            low = np.repeat(begin_slot, per)
+            have = isa[u]
+            moves[u] = True
+            there = sa[slots]
+            stay = there[~moves[there]]
+            moves[u] = False
+            if len(stay):
+                vacant = have[have < low]
+                sa[vacant], isa[stay] = stay, vacant
+            sa[slots], isa[u] = u, slots
+            size[base] -= per
+            at = np.flatnonzero(other | (np.diff(times, prepend=0) != 0))
+            ids = slots[at]
+            n_run = np.diff(np.append(at, len(u)))
+            size[ids] = n_run
+            group[u] = np.repeat(ids, n_run)
+        live = live[g > bottom[live]]
+    # the order within groups
+    out = np.full(n, -1)
+    ends = np.flatnonzero(is_end)
+    eo = owner[ends]
+    rank = np.arange(len(ends)) - np.repeat(np.cumsum(n_ends) - n_ends, n_ends)
+    out[first[eo] + rank] = ends
+    placed[ends] = placed[none] = True
+    head = np.arange(n + 1)
+    for k in range(int(sizes.max(initial=0))):
+        i = out[first[sizes > k] + k]
+        j = np.where(is_first[i], none, i - 1)
+        j = j[~placed[j]]
+        while len(j):
+            g = group[j]
+            p = head[g]
+            out[p] = j
+            head[g] = p + 1
+            placed[j] = True
+            j = prev[j]
+            j = j[~placed[j]]
+    return out
+
+
 # Anchors
 
 
@@ -343,17 +454,12 @@ def _send_contexts(batches: Iterator[pa.RecordBatch], shared, shards: int) -> It
         h, key, ids, doc, at, sized = h[order], key[order], ids[order], doc[order], at[order] - (x.ends - x.sizes)[doc[order]], sized[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])]) if len(h) else np.zeros(0, bool)
         first, context = np.flatnonzero(new), np.cumsum(new) - 1
-        rows, batch = [], f"{TaskContext.get().partitionId()}/{n}"
-        contexts_of = dict(_split(_shards_of(h[first], shards), shards))
-        marks: dict[int, int] = {}
-        for s, k in _split(_shards_of(h, shards), shards):
-            c = contexts_of[s]
-            rows.append((s, 0, batch, pack(h[first][c], ids[first][c], sized[first][c].ravel())))
-            docs, local = np.unique(doc[k], return_inverse=True)
-            for d in docs.tolist():
-                if d not in marks:
-                    marks[d] = xxhash.xxh64_intdigest(x.texts[d])
-            rows.append((s, 1, batch, pack((context[k] - c.start).astype(np.uint32), local.astype(np.uint32), at[k], x.ids[docs], np.array([marks[d] for d in docs.tolist()], np.uint64))))
+        batch = f"{TaskContext.get().partitionId()}/{n}"
+        rows = [(s, 0, batch, pack(h[first][k], ids[first][k], sized[first][k].ravel())) for s, k in _split(_shards_of(h[first], shards), shards)]
+        docs, local = np.unique(doc, return_inverse=True)
+        marks = np.array([xxhash.xxh64_intdigest(x.texts[d]) for d in docs.tolist()], np.uint64)
+        if len(at):
+            rows.append((-1, 1, batch, pack(context.astype(np.uint32), local.astype(np.uint32), at, x.ids[docs], marks)))
         yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.binary()))], names=["shard", "kind", "batch", "blob"])
 
 
@@ -370,56 +476,82 @@ def _smallest(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.n
     return order[first], np.minimum.reduceat(ids[order], first) if len(ids) else ids, member
 
 
-def _whole_classes(rows: np.ndarray, cls: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows, sorted by class, in pieces of about TEXT_STRINGS that cut no class."""
-    edges = np.append(np.flatnonzero(np.diff(cls, prepend=-1)), len(rows))
-    at = 0
-    while at < len(rows):
-        stop = int(edges[min(np.searchsorted(edges, at + TEXT_STRINGS), len(edges) - 1)])
-        yield rows[at:stop]
-        at = stop
-
-
-def window_owners(h: np.ndarray, sized: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _in_pieces(cls: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows, sorted by class, in pieces of about TEXT_STRINGS rows that cut no class, classes of like size together."""
+    first = np.flatnonzero(np.diff(cls, prepend=-1))
+    size = np.diff(np.append(first, len(cls)))
+    order = np.argsort(size, kind="stable")
+    turn = (np.cumsum(size[order]) - 1) // TEXT_STRINGS
+    for part in np.split(order, np.flatnonzero(np.diff(turn)) + 1) if len(order) else ():
+        n = size[part]
+        yield np.arange(n.sum()) + np.repeat(first[part] - (np.cumsum(n) - n), n)
+
+
+def _sorted_windows(frame: np.ndarray, there: np.ndarray, fits: np.ndarray, cls: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each row (symbols, where there are any; rows of a class are one text) and each of its first columns that a
+    window of as many symbols fits behind: the smallest id of all rows with that window."""
+    text = frame[there]
+    row, column = np.nonzero(there)
+    first = np.flatnonzero(np.diff(cls, prepend=-1))
+    sizes = np.add.reduceat(there.sum(1), first)
+    is_end = text == 0
+    if len(text) >= SHARED_STEPS * sizes.max():
+        sa = suffix_arrays(text, is_end, sizes)
+    else:
+        stops = np.cumsum(sizes)
+        sa = np.concatenate([np.array(suffix_array(text[a:z].tolist(), np.flatnonzero(is_end[a:z]).tolist()), np.int64) + a for a, z in zip((stops - sizes).tolist(), stops.tolist(), strict=True)])
+    width = fits.shape[1]
+    starts = np.zeros(there.shape, bool)
+    starts[:, :width] = fits
+    sa = sa[starts[there][sa]]
+    owner = np.full(fits.shape, NEVER)
+    if not len(sa):
+        return owner
+    windows = text[sa[:, None] + np.arange(width)]
+    of = cls[row[sa]]
+    new = np.flatnonzero(np.concatenate([[True], (windows[1:] != windows[:-1]).any(1) | (of[1:] != of[:-1])]))
+    owner[row[sa], column[sa]] = np.repeat(np.minimum.reduceat(least[row[sa]], new), np.diff(np.append(new, len(sa))))
+    return owner
+
+
+def window_owners(h: np.ndarray, sized: np.ndarray, ids: np.ndarray, depth: int = 0) -> np.ndarray:
     """For each different context (hash of its anchor, sides with their sizes, smallest id) and each of its SIDE + 1
-    windows: the smallest id of all contexts that have that window, NEVER where the document ends before it."""
+    windows: the smallest id of all contexts that have that window, NEVER where the document ends before it.
+
+    The windows of a range share what lies between its first and its last; with the anchor's gram that is one symbol of a
+    text, the class of the row. Classes of more than TEXT_STRINGS rows are cut again, into shorter ranges.
+    """
     owners = np.full((len(h), SIDE + 1), NEVER)
     left, right = sized[:, 2 * SIDE].astype(np.int64), sized[:, 2 * SIDE + 1].astype(np.int64)
-    for j0 in range(0, SIDE + 1, STEP):
-        reach = STEP - 1
-        j1 = j0 + reach
+    for j0, j1 in RANGES[depth]:
+        reach = j1 - j0
         use = np.flatnonzero((left >= SIDE - j1) & (right >= j0))
         if not len(use):
             continue
         before, after = sized[use, j0:j1], sized[use, SIDE + j0 : SIDE + j1]
         core = _row_hash(np.concatenate([sized[use, j1:SIDE], sized[use, SIDE : SIDE + j0]], 1))
         n_before, n_after = np.minimum(reach, left[use] - (SIDE - j1)), np.minimum(reach, right[use] - j0)
-        around = np.ascontiguousarray(np.concatenate([before, after], 1)).view(np.uint64)
-        rows, least, member = _smallest([h[use], core, around[:, 0], around[:, 1], n_before, n_after], ids[use])
+        around = np.concatenate([before, after], 1)
+        wide = np.pad(around, ((0, 0), (0, -around.shape[1] % 8))).view(np.uint64).T if reach else ()
+        rows, least, member = _smallest([h[use], core, *wide, n_before, n_after], ids[use])
         h_of, core_of = h[use][rows], core[rows]
         cls = np.cumsum(np.concatenate([[True], (h_of[1:] != h_of[:-1]) | (core_of[1:] != core_of[:-1])])) - 1
-        several = np.bincount(cls)[cls] > 1
-        frame = np.zeros((len(rows), 2 * reach + 2), np.int64)  # before, core, after, end
-        frame[:, :reach], frame[:, reach], frame[:, reach + 1 : -1] = before[rows].astype(np.int64) + 1, 257 + cls, after[rows].astype(np.int64) + 1
+        n = np.bincount(cls)[cls]
+        many = (n > TEXT_STRINGS) & (depth + 1 < len(RANGES))
+        frame = np.zeros((len(rows), 2 * reach + 2), np.int16)  # before, core, after, end
+        frame[:, :reach], frame[:, reach], frame[:, reach + 1 : -1] = before[rows].astype(np.int16) + 1, 257, after[rows].astype(np.int16) + 1
         there = np.ones(frame.shape, bool)
         there[:, :reach] = np.arange(reach) >= reach - n_before[rows][:, None]
         there[:, reach + 1 : -1] = np.arange(reach) < n_after[rows][:, None]
-        fits = there[:, :STEP] & np.stack([there[:, o + reach] for o in range(STEP)], 1)
-        owner = np.where(fits, least[:, None], NEVER)
-        many = np.flatnonzero(several)
-        for part in _whole_classes(many, cls[many]):
-            mask = there[part]
-            text = frame[part][mask]
-            last = np.cumsum(mask.sum(1)) - 1
-            row, column = np.nonzero(mask)
-            sa = np.array(suffix_array(text.tolist(), last.tolist()), np.int64)
-            starts = np.zeros(mask.shape, bool)
-            starts[:, :STEP] = fits[part]
-            sa = sa[starts[mask][sa]]
-            windows = text[sa[:, None] + np.arange(STEP)]
-            first = np.flatnonzero(np.concatenate([[True], (windows[1:] != windows[:-1]).any(1)]))
-            run = np.repeat(np.minimum.reduceat(least[part][row[sa]], first), np.diff(np.append(first, len(sa))))
-            owner[part[row[sa]], column[sa]] = run
+        fits = there[:, : reach + 1] & np.stack([there[:, o + reach] for o in range(reach + 1)], 1)
+        owner = np.full(fits.shape, NEVER)
+        one = np.flatnonzero(~many)
+        for part in _in_pieces(cls[one]):
+            part = one[part]
+            owner[part] = _sorted_windows(frame[part], there[part], fits[part], cls[part], least[part])
+        if many.any():
+            cut = np.flatnonzero(many)
+            owner[cut] = window_owners(h_of[cut], sized[use][rows][cut], least[cut], depth + 1)[:, j0 : j1 + 1]
         owners[use, j0 : j1 + 1] = owner[member]
     return owners
 
@@ -435,27 +567,38 @@ def _dealt(found: list[list[np.ndarray]], buckets: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
 
+def _find_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text that a shard got from its batches -> for each batch: the smallest ids of its strings."""
+    for shard, rows in _grouped(batches):
+        names, parts = [], []
+        for batch, blob in rows:
+            h, ids, sized = unpack(blob)
+            names.append(batch)
+            parts.append((h, ids, sized.reshape(len(h), -1)))
+        h, ids, sized = (np.concatenate(x) for x in zip(*parts, strict=True))
+        edges = np.cumsum([0, *(len(x[0]) for x in parts)]).tolist()
+        del parts
+        wide = np.pad(sized, ((0, 0), (0, -sized.shape[1] % 8))).view(np.uint64)
+        first, least, member = _smallest([h, *wide.T], ids)
+        owners = window_owners(h[first], sized[first], least)
+        for name, a, z in zip(names, edges, edges[1:], strict=False):
+            yield pa.record_batch([pa.array([name]), pa.array([0], pa.int32()), pa.array([shard], pa.int64()), pa.array([pack(owners[member[a:z]].ravel())], pa.binary())], names=["batch", "kind", "shard", "blob"])
+
+
 def _find_spans(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The smallest ids that a batch got back from shards, in their order, and then its occurrences -> spans."""
     found: list[list[np.ndarray]] = []
     held = 0
     for _, rows in _grouped(batches):
-        parts, of_batch, n, owners = [], {}, 0, None
-        for kind, batch, blob in rows:
+        parts = []
+        for kind, _, blob in rows:
             if kind == 0:
-                h, ids, sized = unpack(blob)
-                parts.append((h, ids, sized.reshape(len(h), -1)))
-                of_batch[batch] = slice(n, n + len(h))
-                n += len(h)
+                parts.append(unpack(blob)[0].reshape(-1, SIDE + 1))
                 continue
-            if owners is None:  # all contexts come before all occurrences
-                h, ids, sized = (np.concatenate(x) for x in zip(*parts, strict=True))
-                parts = []
-                wide = np.pad(sized, ((0, 0), (0, -sized.shape[1] % 8))).view(np.uint64)
-                first, least, member = _smallest([h, *wide.T], ids)
-                owners = window_owners(h[first], sized[first], least)
-                lowest = owners.min(1)
+            owners = np.concatenate(parts)
+            lowest = owners.min(1)
             context, local, at, doc_ids, marks = unpack(blob)
-            context, ids = member[of_batch[batch]][context], doc_ids[local]
+            ids = doc_ids[local]
             hit = np.flatnonzero(lowest[context] < ids)
             hits = owners[context[hit]] < ids[hit][:, None]
             start = at[hit] - SIDE + hits.argmax(1)
@@ -527,14 +670,17 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     shards, buckets = max(16, total // SHARD_BYTES), max(16, total // BUCKET_BYTES)
 
     sent = rows.mapInArrow(lambda it: _send_hashes(it, shards), "shard bigint, blob binary")
-    pieces = staged(sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda it: _repeated(it, max(64, FILTER_MOST // shards)), "shard bigint, bits binary"), "repeats-filter")
+    pieces = staged(sent.repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard").mapInArrow(lambda it: _repeated(it, max(64, FILTER_MOST // shards)), "shard bigint, bits binary"), "repeats-filter")
     shared = spark.sparkContext.broadcast(Filter({r.shard: r.bits for r in pieces.toLocalIterator()}, shards))  # at most FILTER_MOST bits
 
-    contexts = rows.mapInArrow(lambda it: _send_contexts(it, shared, shards), "shard bigint, kind int, batch string, blob binary")
-    spans = contexts.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda it: _find_spans(it, buckets), "bucket bigint, blob binary")
+    contexts = staged(rows.mapInArrow(lambda it: _send_contexts(it, shared, shards), "shard bigint, kind int, batch string, blob binary"), "repeats-contexts")
+    sent = contexts.where("kind = 0").select("shard", "batch", "blob").repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard")
+    owners = sent.mapInArrow(_find_owners, "batch string, kind int, shard bigint, blob binary")
+    back = owners.union(contexts.where("kind = 1").select("batch", "kind", "shard", "blob"))
+    spans = back.repartition(min(shards, MOST_PARTS), "batch").sortWithinPartitions("batch", "kind", "shard").mapInArrow(lambda it: _find_spans(it, buckets), "bucket bigint, blob binary")
     spans = staged(spans, "repeats-spans")
 
     own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     whole = rows.select(F.pmod(own, F.lit(buckets)).cast("bigint").alias("bucket"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("blob"))
     marks = spans.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob")
-    return whole.union(marks).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_cut, RESULT)
+    return whole.union(marks).repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_cut, RESULT)
