@@ -52,6 +52,45 @@ def test_mix(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_taken_is_what_shards_draw(spark, monkeypatch):
+    """Brute force: each source's permuted draws, dealt to shards as the tree's leaves say; shards' words add up to taken."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 10)
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.randint(0, 9), ["a", "b", None, "c"][min(3, int(rng.random() ** 2 * 4))]) for i in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    prepared = mixing.staged(mixing.prepared(frame).select("doc_id", "__source", "__size", "__h"), "t")
+    blocks = mixing.plan(prepared)
+    got = {r.doc_id: r for r in mixing.mixed(prepared, blocks).collect()}
+    sources = {r["__source"]: r for r in mixing.targets(prepared).collect()}
+    per_shard = {}
+    for name, source in sources.items():
+        members = [r for r in got.values() if r["__source"] == name]
+        assert abs(sum(r.taken for r in members) - source.target) <= 0.5 + 1e-9
+        for r in members:
+            full, part = divmod(r.taken, r["__size"]) if r["__size"] else (0, 0)
+            assert len(r.shards) == full + (part > 0)
+            for k, shard in enumerate(r.shards):
+                per_shard[shard] = per_shard.get(shard, 0) + (r["__size"] if k < full else part)
+    assert set(per_shard) == set(range(8)) and sum(per_shard.values()) == sum(r.taken for r in got.values())
+    # a block's rows are in the same shards, pass by pass, and shards have disjoint draws of nearly the same number
+    draws = {}
+    for b in blocks.collect():
+        for k, shard in enumerate(b.shards):
+            draws.setdefault(shard, set()).add((b["__source"], b["__block"], k))
+    n = [len(v) for v in draws.values()]
+    assert max(n) - min(n) <= 1 and len(set.union(*draws.values())) == sum(n)
+    assert len({len(b.shards) for b in blocks.collect()}) > 1
+
+
+def test_mix_with_clashing_columns(spark):
+    names = ("part", "words", "blocks", "target", "full", "shards", "taken", "rank", "at", "last", "__source", "__size", "__block", "places", "source_size")
+    frame = spark.createDataFrame([(i, "a b c", f"s{i % 2}") for i in range(30)], "doc_id bigint, text string, source string").withColumns({c: F.lit("x") for c in names})
+    found = mixing.mix(frame)
+    assert found.columns == ["doc_id", "text", "source", "part", "words", "blocks", "full", "rank", "at", "last", "__source", "__block", "__size", "source_size", "target", "taken", "shards", "places"]
+    assert found.count() == 30 and {r.words for r in found.collect()} == {"x"} and found.agg(F.sum("taken")).first()[0] == 135
+    assert mixing.drawn_copies(frame).columns == frame.columns
+
+
 def test_drawn_copies(spark, docs, none):
     out = mixing.drawn_copies(docs)
     assert out.columns == docs.columns

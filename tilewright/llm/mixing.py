@@ -3,18 +3,20 @@
 1. Targets: sources in code-point order (null last) weigh 3, 1, 2, repeating, and share `share` times all sizes; a target
    stops at `most` times its source's size and the excess goes to the others by weight (water filling, by one sort).
 2. Blocks: each source's rows are dealt by hash into blocks of a bounded number of rows, which a hash permutes. A source's
-   quota of words is some whole passes over its blocks and then a part of the permuted sequence; within the one block
-   that the quota ends in, rows are taken in hash order and the last one in part, so the quota is met to the word.
+   quota of words is a number of block draws: some whole passes over its blocks and then a part of the permuted sequence.
 3. Splitting tree: the exact numbers of block draws of all sources are halved again and again by multivariate
-   hypergeometric draws until each output shard has its own; shards then get disjoint ranges of the permuted draws.
-4. Local shuffle: each draw of a row has a seeded hash by shard, pass and row, and a shard's draws are in its order.
+   hypergeometric draws until each output shard has its own quota of each source.
+4. Draws: a shard takes the next so many of the permuted draws that no shard before it took. What is taken of a block is
+   what shards draw of it; the last draw of a source ends within its block, at a hash, so the quota is met to the word.
+5. Local shuffle: each draw of a row has a seeded hash by shard, pass and row, and a shard's draws are in its order.
 
 The draws depend on seed, source and node only, so reruns agree. The tree's state is one row for each node with a number
-for each source, and never a row for each document.
+for each source, and never a row for each document; one task holds the sources (a name and some numbers each).
 
 Defined cases: null and empty texts have size 0 and nothing of them is taken; rows with a null source form one source;
-a null doc_id is dealt like a value; repeated rows are rows of their own; an empty table gives an empty result. Columns
-of docs other than the named ones are passed through; internal columns begin with two underscores.
+a null doc_id is dealt like a value; repeated rows are rows of their own, and where a source's last draw ends at some of
+them they share what is left evenly (up to a word each is then missing); an empty table gives an empty result. Columns of
+docs are passed through, but for those named like a column of the result, which the result's replace.
 """
 
 from __future__ import annotations
@@ -119,54 +121,68 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
     return leaves.select("rank", "shard", (stop - F.col("n")).alias("first"), stop.alias("stop"))
 
 
-def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **how) -> DataFrame:
-    """A row for each source and block of prepared rows: what is taken of it and to which shards its draws go."""
-    sources = staged(targets(docs, **how).withColumn("blocks", F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("rows") / BLOCK_ROWS))), "mix-sources")
-    sums = lookup(docs.select("__source", "__size", "__h"), sources, ["__source"]).groupBy("__source", "rank", "target", "quota", "source_size", "blocks", _block().alias("__block")).agg(F.sum("__size").alias("words"))
+def plan(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, **how) -> DataFrame:
+    """A row for each source and block of prepared rows: in which shards' draws its rows are, by pass, and up to which hash
+    the last one takes them (at_hash, of which rows at_words)."""
+    sources = staged(targets(rows, **how).withColumn("blocks", F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("rows") / BLOCK_ROWS))), "mix-sources")
+    dealt = lookup(rows.select("__source", "__size", "__h"), sources, ["__source"]).withColumn("__block", _block())
     in_source = W.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed), "__source", "__block"), "__block")
+    blocks = dealt.groupBy("__source", "rank", "target", "quota", "source_size", "blocks", "__block").agg(F.sum("__size").alias("words"))
+    blocks = blocks.select("*", (F.row_number().over(in_source) - 1).alias("at"), (F.sum("words").over(in_source) - F.col("words")).alias("before"), F.count("*").over(W.partitionBy("rank")).alias("dealt"))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("bigint")
-    blocks = sums.select("*", (F.row_number().over(in_source) - 1).alias("at"), (F.sum("words").over(in_source) - F.col("words")).alias("before"), F.count("*").over(W.partitionBy("rank")).alias("dealt"))
     blocks = blocks.withColumn("full", full).withColumn("rest", F.col("quota") - F.col("full") * F.col("source_size"))
-    blocks = blocks.withColumn("part", F.greatest(F.lit(0).cast("bigint"), F.least(F.col("words"), F.col("rest") - F.col("before"))))
-    blocks = staged(blocks, "mix-blocks")
-    draws = F.sum(F.col("full") + F.when(F.col("part") > 0, 1).otherwise(0))
-    ranges = split_quotas(blocks.groupBy("rank").agg(draws.alias("draws")), shards, seed).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("first", "stop", "shard"))).alias("ranges"))
-    passes = F.sequence(F.lit(0).cast("bigint"), F.col("full") + F.when(F.col("part") > 0, 0).otherwise(-1))
-    drawn = F.when(F.col("full") + F.col("part") > 0, F.transform(passes, lambda p: p * F.col("dealt") + F.col("at"))).otherwise(F.array().cast("array<bigint>"))
-    to = F.transform(drawn, lambda d: F.filter("ranges", lambda r: (r["first"] <= d) & (d < r["stop"]))[0]["shard"])
-    joined = blocks.join(ranges, "rank").select("__source", "__block", "blocks", "source_size", "target", "full", "words", "part", to.alias("shards"))
-    return staged(joined, "mix-plan")
+    blocks = staged(blocks.withColumn("draws", F.col("full") + F.when(F.col("before") < F.col("rest"), 1).otherwise(0)), "mix-blocks")
+
+    leaves = split_quotas(blocks.groupBy("rank").agg(F.sum("draws").alias("draws")), shards, seed).where("stop > first")
+    draws = leaves.select("rank", "shard", F.explode(F.sequence("first", F.col("stop") - 1)).alias("draw"))
+    found = draws.join(blocks.groupBy("rank").agg(F.max("dealt").alias("n")), "rank").select("rank", "shard", (F.col("draw") % F.col("n")).alias("at"), F.floor(F.col("draw") / F.col("n")).alias("pass"))
+    of_block = found.groupBy("rank", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("shards"))  # a block has at most `most` passes
+    drawn = blocks.join(of_block, ["rank", "at"], "left").withColumn("shards", F.coalesce("shards", F.array().cast("array<int>")))
+    last = F.when(F.size("shards") > F.col("full"), F.least(F.col("words"), F.col("rest") - F.col("before"))).otherwise(0).cast("bigint")
+    drawn = staged(drawn.withColumn("last", last), "mix-draws")
+
+    ends = lookup(dealt.select("__source", "__block", "__size", "__h"), drawn.where("last > 0 and last < words").select("__source", "__block", "last"), ["__source", "__block"], "inner")  # one block of each source
+    run = W.partitionBy("__source", "__block").orderBy("__h")
+    ends = ends.groupBy("__source", "__block", "last", "__h").agg(F.sum("__size").alias("w"), F.count("*").alias("n")).withColumn("before", F.sum("w").over(run) - F.col("w"))
+    ends = ends.where("before < last and last <= before + w").select(F.col("__source").alias("__s"), F.col("__block").alias("__b"), F.col("__h").alias("at_hash"), F.floor((F.col("last") - F.col("before")) / F.col("n")).alias("at_words"))
+    joined = drawn.join(ends, drawn["__source"].eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")), "left")
+    return staged(joined.select("__source", "__block", "blocks", "source_size", "target", "full", "last", "shards", "at_hash", "at_words"), "mix-plan")
 
 
 def _block() -> Column:
     return F.pmod(F.col("__h"), F.col("blocks"))
 
 
-def mixed(docs: DataFrame, blocks: DataFrame, seed: int = SEED) -> DataFrame:
+def mixed(rows: DataFrame, blocks: DataFrame, seed: int = SEED) -> DataFrame:
     """Prepared rows with source_size, target, taken (words), shards (of each pass that takes of the row) and places (in them)."""
-    n = blocks.select(F.max("blocks"), F.count("*")).first()
-    rows = lookup(docs, blocks.select("__source", "blocks").distinct(), ["__source"])
-    rows = lookup(rows.withColumn("__block", _block()), blocks.drop("blocks"), ["__source", "__block"], rows=n[1] or 0)
-    whole = rows.where("part = 0 or part = words").withColumn("__part", F.when(F.col("part") > 0, F.col("__size")).otherwise(0))
-    order = W.partitionBy("__source", "__block").orderBy("__h", "__size")
-    cut = rows.where("part > 0 and part < words")  # one block of each source
-    before = F.sum("__size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__size")
-    cut = cut.withColumn("__part", F.greatest(F.lit(0).cast("bigint"), F.least(F.col("__size"), F.col("part") - before)))
-    both = whole.unionByName(cut)
-    taken = F.col("full") * F.col("__size") + F.col("__part")
-    passes = F.when(F.col("__size") == 0, 0).otherwise(F.col("full") + F.when(F.col("__part") > 0, 1).otherwise(0))
-    shards = F.slice("shards", F.lit(1), passes.cast("int"))
-    out = both.withColumns({"taken": taken.cast("bigint"), "shards": shards})
+    sources = blocks.select("__source", "blocks").distinct()
+    found = lookup(lookup(rows, sources, ["__source"]).withColumn("__block", _block()), blocks.drop("blocks"), ["__source", "__block"])
+    within = F.when(F.col("at_hash").isNull() | (F.col("__h") < F.col("at_hash")), F.col("__size")).when(F.col("__h") == F.col("at_hash"), F.col("at_words")).otherwise(0)
+    found = found.withColumn("__last", F.when(F.col("last") > 0, within).otherwise(0).cast("bigint"))
+    passes = F.when(F.col("__size") == 0, 0).otherwise(F.col("full") + F.when(F.col("__last") > 0, 1).otherwise(0)).cast("int")
+    out = found.withColumns({"taken": F.col("full") * F.col("__size") + F.col("__last"), "shards": F.slice("shards", F.lit(1), passes)})
     places = F.transform("shards", lambda shard, i: F.xxhash64(F.lit(seed), shard, i, F.col("__h")))
-    return out.withColumn("places", places).drop("__block", "blocks", "full", "words", "part", "__part")
+    return out.withColumn("places", places).drop("__block", "blocks", "full", "last", "__last", "at_hash", "at_words")
+
+
+RESULT = ("source_size", "target", "taken", "shards", "places")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """docs with __size, source_size, target, taken, shards and places: what a shard holds is ordered by its place."""
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", keep: list[str] | None = None, **how) -> DataFrame:
+    """docs (or their columns `keep`) with __size, source_size, target, taken, shards and places: what a shard holds is
+    ordered by its place. Texts that are not kept are read once, else twice."""
     seed = how.get("seed", SEED)
-    rows = prepared(docs, doc_id, source, text, seed)
-    narrow = staged(rows.select("__source", "__size", "__h"), "mix-rows")
-    return mixed(rows, plan(narrow, **how), seed).drop("__source", "__h")
+    columns = {f"__in{i}": c for i, c in enumerate(docs.columns)}  # none of these clashes
+    renamed = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()])
+    at = {c: k for k, c in columns.items()}
+    rows = prepared(renamed, at[doc_id], at[source], at[text], seed)
+    kept = [(k, c) for k, c in columns.items() if c not in (*RESULT, "__size") and (keep is None or c in keep)]
+    if keep is not None and text not in keep:
+        rows = narrow = staged(rows.select(*[k for k, _ in kept], "__source", "__size", "__h"), "mix-rows")
+    else:
+        narrow = staged(rows.select("__source", "__size", "__h"), "mix-rows")
+    found = mixed(rows, plan(narrow, **how), seed)
+    return found.select(*[F.col(k).alias(c) for k, c in kept], "__size", *RESULT)
 
 
 def drawn_copies(docs: DataFrame, **how) -> DataFrame:

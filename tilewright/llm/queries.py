@@ -57,7 +57,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
     return found.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken", "shards", "places")
 
 
