@@ -8,8 +8,9 @@ A byte goes if a string of `length` (50) bytes that covers it also starts in a d
    leaves a filter of bounded size, which may let more pass but never holds one back.
 2. Text of a shard: a second pass sends it the text around its anchors (up to 26 bytes on both sides: all 50-byte strings
    that hold the anchor), with the smallest id that has it. Text that is the same on both sides travels and is sorted once.
-3. Suffix arrays over all of a shard's text bring equal strings together, whatever differs around them; each string learns
-   the smallest id that has it. A text is what surrounds one anchor; many texts are sorted in lockstep.
+3. Suffix arrays over a shard's text bring equal strings together, whatever differs around them; each string learns the
+   smallest id that has it. A text is what surrounds one anchor; many texts are sorted in lockstep. Where an anchor has the
+   same surroundings everywhere there is nothing to sort.
 4. Those ids go back to the batch of documents that sent the text, which turns them into spans of its documents; spans meet
    their documents by id.
 
@@ -49,7 +50,7 @@ RANGES = (((0, SIDE),), ((0, 8), (9, 17), (18, SIDE)), tuple((j, j) for j in ran
 SHARD_BYTES, BUCKET_BYTES, FILTER_BITS, FILTER_MOST = 4 << 20, 12 << 20, 12, 1 << 29
 MOST_PARTS = 8192
 #: Bytes hashed at once, and strings that are sorted at once (a text stays whole).
-SEGMENT, TEXT_STRINGS = 1 << 18, 4096
+SEGMENT, TEXT_STRINGS = 1 << 18, 8192
 #: Texts are sorted in lockstep if the steps of the longest are shared by so many symbols, else one by one.
 SHARED_STEPS = 64
 #: Spans that a task gathers before it deals them to buckets.
@@ -154,27 +155,26 @@ def suffix_arrays(text: np.ndarray, is_end: np.ndarray, sizes: np.ndarray) -> np
     first = stop - sizes
     none = n  # stands for no position
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    values = np.where(is_end, 0, text.astype(np.int64))
-    order = np.lexsort((values, owner))
-    sa = order  # groups are runs of slots, named by their first slot; those of a text ascend
-    isa = np.empty(n + 1, np.int64)
+    values = owner * (int(text.max(initial=0)) + 1) + np.where(is_end, 0, text)
+    index = np.int32 if n < 1 << 31 else np.int64
+    sa = np.argsort(values, kind="stable").astype(index)  # groups are runs of slots, named by their first slot; those of a text ascend
+    isa = np.empty(n + 1, index)
     isa[sa] = np.arange(n)
-    new = np.ones(n, bool)
-    new[1:] = (values[sa][1:] != values[sa][:-1]) | (owner[sa][1:] != owner[sa][:-1])
+    new = np.diff(values[sa], prepend=-1) != 0
     slot = np.arange(n)
-    group = np.empty(n + 1, np.int64)
+    group = np.empty(n + 1, index)
     group[sa] = np.maximum.accumulate(np.where(new, slot, 0))
     group[np.flatnonzero(is_end)] = -1
     group[n] = -1
-    size = np.zeros(n + 1, np.int64)
+    size = np.zeros(n + 1, index)
     starts = np.flatnonzero(new)
     size[starts] = np.diff(np.append(starts, n))
     n_ends = np.bincount(owner[is_end], minlength=len(sizes))
     bottom = first + n_ends
-    prev = np.full(n + 1, none)
+    prev = np.full(n + 1, none, index)
     done, moves, is_first, placed = (np.zeros(n + 1, bool) for _ in range(4))
     is_first[first[sizes > 0]] = True
-    top = stop.copy()
+    first, bottom, top = (x.astype(index) for x in (first, bottom, stop))
     live = np.flatnonzero(top > bottom)
     while len(live):
         # the highest group of each text that is not done yet
@@ -189,7 +189,7 @@ def suffix_arrays(text: np.ndarray, is_end: np.ndarray, sizes: np.ndarray) -> np
             c = np.cumsum(m)
             i = sa[np.arange(k) + np.repeat(g - (c - m), m)]
         done[i] = True
-        j = np.where(is_first[i], none, i - 1)
+        j = np.where(is_first[i], index(none), i - index(1))
         prev[i] = j
         open_ = np.flatnonzero(done[j])
         while len(open_):
@@ -204,7 +204,7 @@ def suffix_arrays(text: np.ndarray, is_end: np.ndarray, sizes: np.ndarray) -> np
             u = target[at]
             times = np.diff(np.append(at, len(target)))
             old = group[u]
-            o = np.lexsort((times, old))
+            o = np.argsort(old.astype(np.int64) * (int(times.max()) + 1) + times)
             u, times, old = u[o], times[o], old[o]
             other = np.diff(old, prepend=-1) != 0
             at = np.flatnonzero(other)
@@ -230,16 +230,16 @@ def suffix_arrays(text: np.ndarray, is_end: np.ndarray, sizes: np.ndarray) -> np
             group[u] = np.repeat(ids, n_run)
         live = live[g > bottom[live]]
     # the order within groups
-    out = np.full(n, -1)
+    out = np.full(n, -1, index)
     ends = np.flatnonzero(is_end)
     eo = owner[ends]
     rank = np.arange(len(ends)) - np.repeat(np.cumsum(n_ends) - n_ends, n_ends)
     out[first[eo] + rank] = ends
     placed[ends] = placed[none] = True
-    head = np.arange(n + 1)
+    head = np.arange(n + 1, dtype=index)
     for k in range(int(sizes.max(initial=0))):
         i = out[first[sizes > k] + k]
-        j = np.where(is_first[i], none, i - 1)
+        j = np.where(is_first[i], index(none), i - index(1))
         j = j[~placed[j]]
         while len(j):
             g = group[j]
@@ -351,20 +351,26 @@ def _split(shard: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
 def _send_hashes(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = _Batch(b.column(0), b.column(1))
-        ids = x.ids[x.doc]
-        order = np.lexsort((ids, x.hash, _shards_of(x.hash, shards)))
-        h, ids = x.hash[order], ids[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        several = (ids[first] != ids[np.append(first[1:], len(h)) - 1]) if len(h) else np.zeros(0, bool)
-        h = h[first]
-        rows = [(s, pack(h[k], several[k].view(np.uint8))) for s, k in _split(_shards_of(h, shards), shards)]
+        ids, shard, key = x.ids[x.doc], _shards_of(x.hash, shards), _keys(x.hash)
+        order = np.lexsort((ids, key, shard))
+        shard, key, ids = shard[order], key[order], ids[order]
+        new = (np.diff(shard, prepend=-1) != 0) | (np.diff(key.astype(np.int64), prepend=-1) != 0)
+        first = np.flatnonzero(new)
+        several = (ids[first] != ids[np.append(first[1:], len(ids)) - 1]) if len(first) else np.zeros(0, bool)
+        rows = [(s, pack(key[first][k], several[k].view(np.uint8))) for s, k in _split(shard[first], shards)]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
 
 
-def _filter_places(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _keys(h: np.ndarray) -> np.ndarray:
+    """What the first pass knows a hash by within its shard, which is small: two that it cannot tell apart both pass."""
+    return (h * _MULTIPLIERS[2] >> np.uint64(32)).astype(np.uint32)
+
+
+def _filter_places(key: np.ndarray, size: int | np.ndarray) -> list[np.ndarray]:
     """Two bits of a shard's filter of so many bits."""
-    low = h & np.uint64(0xFFFFFFFF)
-    return (low * np.uint64(size) >> np.uint64(32)).astype(np.int64), ((h * _MULTIPLIERS[1] >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+    key = key.astype(np.uint64)
+    again = (key * np.uint64(0x9E3779B1) + np.uint64(0x7F4A7C15)) & np.uint64(0xFFFFFFFF)
+    return [(x * np.asarray(size, np.uint64) >> np.uint64(32)).astype(np.int64) for x in (key, again)]
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
@@ -417,7 +423,7 @@ class Filter:
     def passes(self, h: np.ndarray) -> np.ndarray:
         s = _shards_of(h, self.shards)
         out = np.ones(len(h), bool)
-        for places in _filter_places(h, self.sizes[s]):
+        for places in _filter_places(_keys(h), self.sizes[s]):
             at = self.starts[s] + places
             out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
         return out
@@ -459,7 +465,7 @@ def _send_contexts(batches: Iterator[pa.RecordBatch], shared, shards: int) -> It
         docs, local = np.unique(doc, return_inverse=True)
         marks = np.array([xxhash.xxh64_intdigest(x.texts[d]) for d in docs.tolist()], np.uint64)
         if len(at):
-            rows.append((-1, 1, batch, pack(context.astype(np.uint32), local.astype(np.uint32), at, x.ids[docs], marks)))
+            rows.append((-1 - n, 1, batch, pack(context.astype(np.uint32), local.astype(np.uint32), at, x.ids[docs], marks)))
         yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.binary()))], names=["shard", "kind", "batch", "blob"])
 
 
@@ -477,14 +483,20 @@ def _smallest(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _in_pieces(cls: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows, sorted by class, in pieces of about TEXT_STRINGS rows that cut no class, classes of like size together."""
+    """Rows, sorted by class, in pieces that cut no class, classes of like size together: as few rows as leave SHARED_STEPS
+    classes to sort in lockstep, but at most about TEXT_STRINGS."""
     first = np.flatnonzero(np.diff(cls, prepend=-1))
     size = np.diff(np.append(first, len(cls)))
-    order = np.argsort(size, kind="stable")
-    turn = (np.cumsum(size[order]) - 1) // TEXT_STRINGS
-    for part in np.split(order, np.flatnonzero(np.diff(turn)) + 1) if len(order) else ():
-        n = size[part]
-        yield np.arange(n.sum()) + np.repeat(first[part] - (np.cumsum(n) - n), n)
+    order = np.argsort(size, kind="stable").tolist()
+    held: list[int] = []
+    rows = 0
+    for k in order:
+        held.append(k)
+        rows += int(size[k])
+        if rows >= min(TEXT_STRINGS, max(TEXT_STRINGS // 4, 2 * SHARED_STEPS * int(size[k]))) or k == order[-1]:
+            n = size[held]
+            yield np.arange(rows) + np.repeat(first[held] - (np.cumsum(n) - n), n)
+            held, rows = [], 0
 
 
 def _sorted_windows(frame: np.ndarray, there: np.ndarray, fits: np.ndarray, cls: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -544,8 +556,8 @@ def window_owners(h: np.ndarray, sized: np.ndarray, ids: np.ndarray, depth: int
         there[:, :reach] = np.arange(reach) >= reach - n_before[rows][:, None]
         there[:, reach + 1 : -1] = np.arange(reach) < n_after[rows][:, None]
         fits = there[:, : reach + 1] & np.stack([there[:, o + reach] for o in range(reach + 1)], 1)
-        owner = np.full(fits.shape, NEVER)
-        one = np.flatnonzero(~many)
+        owner = np.where(fits, least[:, None], NEVER)  # a class of one row has nothing to sort
+        one = np.flatnonzero(~many & (n > 1))
         for part in _in_pieces(cls[one]):
             part = one[part]
             owner[part] = _sorted_windows(frame[part], there[part], fits[part], cls[part], least[part])
@@ -568,8 +580,16 @@ def _dealt(found: list[list[np.ndarray]], buckets: int) -> pa.RecordBatch:
 
 
 def _find_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text that a shard got from its batches -> for each batch: the smallest ids of its strings."""
+    """The text that a shard got from its batches -> for each batch: the smallest ids of its strings. Batches' occurrences,
+    which have numbers below 0 for a shard, pass."""
+    def back(batch: str, kind: int, shard: int, blob: bytes) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([batch]), pa.array([kind], pa.int32()), pa.array([shard], pa.int64()), pa.array([blob], pa.binary())], names=["batch", "kind", "shard", "blob"])
+
     for shard, rows in _grouped(batches):
+        if shard < 0:
+            for batch, blob in rows:
+                yield back(batch, 1, shard, blob)
+            continue
         names, parts = [], []
         for batch, blob in rows:
             h, ids, sized = unpack(blob)
@@ -582,7 +602,7 @@ def _find_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, least, member = _smallest([h, *wide.T], ids)
         owners = window_owners(h[first], sized[first], least)
         for name, a, z in zip(names, edges, edges[1:], strict=False):
-            yield pa.record_batch([pa.array([name]), pa.array([0], pa.int32()), pa.array([shard], pa.int64()), pa.array([pack(owners[member[a:z]].ravel())], pa.binary())], names=["batch", "kind", "shard", "blob"])
+            yield back(name, 0, shard, pack(owners[member[a:z]].ravel()))
 
 
 def _find_spans(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -673,11 +693,11 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     pieces = staged(sent.repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard").mapInArrow(lambda it: _repeated(it, max(64, FILTER_MOST // shards)), "shard bigint, bits binary"), "repeats-filter")
     shared = spark.sparkContext.broadcast(Filter({r.shard: r.bits for r in pieces.toLocalIterator()}, shards))  # at most FILTER_MOST bits
 
-    contexts = staged(rows.mapInArrow(lambda it: _send_contexts(it, shared, shards), "shard bigint, kind int, batch string, blob binary"), "repeats-contexts")
-    sent = contexts.where("kind = 0").select("shard", "batch", "blob").repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard")
-    owners = sent.mapInArrow(_find_owners, "batch string, kind int, shard bigint, blob binary")
-    back = owners.union(contexts.where("kind = 1").select("batch", "kind", "shard", "blob"))
-    spans = back.repartition(min(shards, MOST_PARTS), "batch").sortWithinPartitions("batch", "kind", "shard").mapInArrow(lambda it: _find_spans(it, buckets), "bucket bigint, blob binary")
+    parts = min(shards, MOST_PARTS)
+    sent = rows.mapInArrow(lambda it: _send_contexts(it, shared, shards), "shard bigint, kind int, batch string, blob binary")
+    sent = sent.repartition(parts, F.when(F.col("kind") == 0, F.col("shard")).otherwise(F.xxhash64("batch"))).select("shard", "batch", "blob").sortWithinPartitions("shard")
+    back = sent.mapInArrow(_find_owners, "batch string, kind int, shard bigint, blob binary")
+    spans = back.repartition(parts, "batch").sortWithinPartitions("batch", "kind", "shard").mapInArrow(lambda it: _find_spans(it, buckets), "bucket bigint, blob binary")
     spans = staged(spans, "repeats-spans")
 
     own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
