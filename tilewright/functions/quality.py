@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.config import BATCH, Localizer, Odometry
+from tilewright.functions import geo
 
 
 def hacc_m(inliers: Column) -> Column:
@@ -46,5 +47,12 @@ def is_trusted(hacc: Column, cfg: Odometry = Odometry()) -> Column:
     return hacc < cfg.hacc_cap_m / 2
 
 
+def spacing(rows: DataFrame, window, least_m: float = 300.0) -> DataFrame:
+    """rows (lat, lon) with metres from the one before in the window, null for the first, and whether that is far enough."""
+    before = [F.lag(c).over(window) for c in ("lat", "lon")]
+    measured = rows.withColumn("metres", geo.haversine_m(*before, F.col("lat"), F.col("lon")))
+    return measured.withColumn("apart", F.coalesce(F.col("metres") >= least_m, F.lit(True)))
+
+
 def has_arrived(horizontal_m: Column, vertical_m: Column) -> Column:
     return (horizontal_m <= 3.0) & (F.abs(vertical_m) <= 2.5)

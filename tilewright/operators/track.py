@@ -47,13 +47,23 @@ def segments(legs: DataFrame) -> DataFrame:
     return counted.withColumn("legs_since_anchor", F.sum((~F.col("anchor")).cast("int")).over(inside))
 
 
-def dead_reckoning(legs: DataFrame, home: tuple[float, float, float]) -> DataFrame:
-    """Position after each leg since its anchor at home (lat, lon, heading): every ok leg turns first and then moves; the
-    east step is scaled at the new latitude. vn and ve are 0 where the time step is missing."""
-    lat0, lon0, heading0 = home
+def dead_reckoning(legs: DataFrame, home: tuple[float, float, float], mount_deg: float = 0.0, altitude: bool = False) -> DataFrame:
+    """Position after each leg since its anchor: every ok leg turns first and then moves; the east step is scaled at the
+    new latitude. vn and ve are 0 where the time step is missing.
+
+    An anchor is where its own fix says (anchor_lat, anchor_lon, anchor_heading, anchor_alt_m, those that legs have and
+    that are not null), else at home (lat, lon, heading); mount_deg is the camera's turn against the airframe. With
+    `altitude` the result has alt_m too: the anchor's, 0 if unknown, and the altitude changes (altitude_change_m) since.
+    """
     w = W.partitionBy("flight", "segment").orderBy(*ORDER)
+
+    def base(name: str, default: float) -> Column:
+        own = F.first(F.when(F.col("anchor"), F.col(name))).over(until_now(w)) if name in legs.columns else F.lit(None)
+        return F.coalesce(own, F.lit(default))
+
+    lat0, lon0, heading0 = (base(f"anchor_{k}", x) for k, x in zip(("lat", "lon", "heading"), home, strict=True))
     moves = F.col("ok") & ~F.col("anchor")
-    t = segments(legs).withColumn("heading", heading0 + F.sum(F.when(moves, F.col("yaw_deg")).otherwise(0.0)).over(until_now(w)))
+    t = segments(legs).withColumn("heading", heading0 + mount_deg + F.sum(F.when(moves, F.col("yaw_deg")).otherwise(0.0)).over(until_now(w)))
     a = F.radians("heading")
     north = F.when(moves, -F.col("dy_m") * F.cos(a) - F.col("dx_m") * F.sin(a)).otherwise(0.0)
     east = F.when(moves, -F.col("dy_m") * F.sin(a) + F.col("dx_m") * F.cos(a)).otherwise(0.0)
@@ -62,7 +72,9 @@ def dead_reckoning(legs: DataFrame, home: tuple[float, float, float]) -> DataFra
     t = t.withColumn("lat", lat0 + F.sum(F.col("north_m") / METRES_PER_DEGREE).over(until_now(w)))
     t = t.withColumn("lon", lon0 + F.sum(F.col("east_m") / (METRES_PER_DEGREE * F.cos(F.radians("lat")))).over(until_now(w)))
     speed = {f"v{k[0]}": F.coalesce(F.col(k) / F.col("dt_s"), F.lit(0.0)) for k in ("north_m", "east_m")}
-    return t.withColumns(speed).select("flight", "leg", "segment", "legs_since_anchor", "heading", "lat", "lon", "vn", "ve")
+    climbed = F.sum(F.when(moves, F.coalesce("altitude_change_m", F.lit(0.0))).otherwise(0.0)).over(until_now(w)) if altitude else F.lit(0.0)
+    t = t.withColumns(speed | ({"alt_m": base("anchor_alt_m", 0.0) + climbed} if altitude else {}))
+    return t.select("flight", "leg", "segment", "legs_since_anchor", "heading", "lat", "lon", *(["alt_m"] if altitude else []), "vn", "ve")
 
 
 def next_accuracy(h: float, ok: bool | None, confident: bool | None, anchor: bool | None, magnitude_m: float | None, anchor_m: float | None, cfg: Odometry) -> float:

@@ -10,10 +10,11 @@ from tilewright.functions import geo, geometry, quality, text
 from tilewright.operators import survey, telemetry, track
 
 
-def captures(rows: DataFrame, interval_s: float, cfg: Localizer = LIVE) -> DataFrame:
-    """Rows at which a shot is taken: in the air by the altitude's hysteresis, throttled, with a fix and level."""
+def captures(rows: DataFrame, interval_s: float, cfg: Localizer = LIVE, guarded: bool = True) -> DataFrame:
+    """Rows at which a shot is taken: in the air by the altitude's hysteresis, throttled, with a fix and, if guarded (passive
+    runs are not), level."""
     up = telemetry.hysteresis(F.col("alt_m"), cfg.capture_on_m, cfg.capture_off_m, telemetry.ordered())
-    flying = rows.withColumn("up", up).where("up = 1").withColumns({"fix": quality.has_fix(F.col("lat"), F.col("lon")), "level": quality.is_level(F.col("roll_deg"), F.col("pitch_deg"), cfg)})
+    flying = rows.withColumn("up", up).where("up = 1").withColumns({"fix": quality.has_fix(F.col("lat"), F.col("lon")), "level": quality.is_level(F.col("roll_deg"), F.col("pitch_deg"), cfg) if guarded else F.lit(True)})
     shots = telemetry.capture_slots(flying, interval_s).where("outcome = 'shot'").select("flight", "msg")
     return rows.join(shots, ["flight", "msg"])
 
@@ -50,9 +51,9 @@ def legs_of(pairs: DataFrame, altitude_m: Column, cfg: Odometry = Odometry()) ->
     return moved.select("flight", F.col("frame").alias("leg"), ok.alias("ok"), (ok & quality.leg_confident(F.col("n_matches"), F.col("n_inliers"), cfg)).alias("confident"), "d.dx_m", "d.dy_m", "d.magnitude_m", F.col("d.yaw_change_deg").alias("yaw_deg"), "d.altitude_change_m", "dt_s")
 
 
-def tracked(legs: DataFrame, home: tuple[float, float, float], cfg: Odometry = Odometry()) -> DataFrame:
+def tracked(legs: DataFrame, home: tuple[float, float, float], cfg: Odometry = Odometry(), mount_deg: float = 0.0, altitude: bool = False) -> DataFrame:
     """Position, accuracy and trust after each leg."""
-    both = track.dead_reckoning(legs, home).join(track.accuracy(legs, cfg), ["flight", "leg"])
+    both = track.dead_reckoning(legs, home, mount_deg, altitude).join(track.accuracy(legs, cfg), ["flight", "leg"])
     return both.withColumn("trusted", quality.is_trusted(F.col("hacc_m"), cfg))
 
 

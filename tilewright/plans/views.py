@@ -26,9 +26,13 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return legs_of(_events(spark, sf_dir))
+
+
+def legs_of(events: DataFrame) -> DataFrame:
     e, kind = F.col("event_id"), F.col("event_type")
     m, b = F.expr("mod(value, 20)"), F.radians((e * 29) % 360)
-    return _events(spark, sf_dir).select(
+    return events.select(
         F.col("user_id").alias("flight"),
         e.alias("leg"),
         "ts",

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.config import BATCH, LIVE, LIVE_SENDING, PASSIVE, Odometry
 from tilewright.functions import geo, geometry, quality, text
 from tilewright.operators import match, robust, survey, telemetry, track
-from tilewright.plans import runs, views
+from tilewright.plans import localize, runs, views
 from tilewright.shared import scratch
 from tilewright.sources import index, tiles
 from tilewright.streaming import telemetry as live
@@ -245,9 +245,8 @@ def quality_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {TELEMETRY_SQL}, p AS (SELECT flight, msg, lat, lon, lag(lat) OVER w AS a, lag(lon) OVER w AS b FROM telemetry WINDOW w AS (PARTITION BY flight ORDER BY ts, msg))
 SELECT flight, msg, round({_hav_sql('a', 'b', 'lat', 'lon')}, 3) AS metres, coalesce({_hav_sql('a', 'b', 'lat', 'lon')} >= 300, true) AS apart FROM p""")
 def quality_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = telemetry.ordered()
-    d = geo.haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    return views.telemetry(spark, sf_dir).withColumn("d", d).select("flight", "msg", F.round("d", 3).alias("metres"), F.coalesce(F.col("d") >= 300, F.lit(True)).alias("apart"))
+    found = quality.spacing(views.telemetry(spark, sf_dir), telemetry.ordered())
+    return found.select("flight", "msg", F.round("metres", 3).alias("metres"), "apart")
 
 
 _QUAD_SQL = f"""WITH {TELEMETRY_SQL}, h AS (
@@ -356,25 +355,19 @@ def match_within_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.knn_within(q, train, ["tile_idx"]).withColumn("dist", F.round("dist", 6))
 
 
-@query("match_hamming", """
-WITH b AS (SELECT vec_id, label, list_sum(list_transform(range(1, 63), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(i AS INT) ELSE 0 END)) AS w FROM embeddings),
-p AS (SELECT q.label AS tile_idx, q.vec_id AS query_idx, t.vec_id AS desc_id, bit_count(xor(CAST(q.w AS BIGINT), CAST(t.w AS BIGINT))) AS dist FROM b q JOIN b t ON q.label = t.label WHERE q.vec_id % 5 = 0),
+@query("match_hamming_all", """
+WITH b AS (SELECT vec_id, label, list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS BIGINT) << CAST(i AS INT) ELSE 0 END)) AS lo,
+  list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 33] > 0 THEN CAST(1 AS BIGINT) << CAST(i AS INT) ELSE 0 END)) AS hi FROM embeddings),
+p AS (SELECT q.label AS tile_idx, q.vec_id AS query_idx, t.vec_id AS desc_id, bit_count(xor(CAST(q.lo AS BIGINT), CAST(t.lo AS BIGINT))) + bit_count(xor(CAST(q.hi AS BIGINT), CAST(t.hi AS BIGINT))) AS dist FROM b q JOIN b t ON q.label = t.label),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY dist, desc_id) AS rank FROM p)
 SELECT tile_idx, query_idx, desc_id, CAST(dist AS DOUBLE) AS dist, CAST(rank AS INT) AS rank FROM r WHERE rank <= 2""")
-def match_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hamming(spark, sf_dir, "desc_id % 5 = 0")
-
-
-@query("match_hamming_all", SQL["match_hamming"].replace(" WHERE q.vec_id % 5 = 0", ""))
 def match_hamming_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hamming(spark, sf_dir, "true")
-
+    """Signs of all components as two words of 32 bits."""
+    def word(first: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("bigint"), lambda s, i: F.when(F.element_at("embedding", i + first) > 0, s + F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(s))
 
-def _hamming(spark: SparkSession, sf_dir: str, asked: str) -> DataFrame:
-    word = F.aggregate(F.sequence(F.lit(1), F.lit(62)), F.lit(0).cast("bigint"), lambda s, i: F.when(F.element_at("embedding", i) > 0, s + F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(s))
-    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("tile_idx"), F.col("vec_id").alias("desc_id"), F.array(word).alias("desc"))
-    q = t.where(asked).withColumnRenamed("desc_id", "query_idx")
-    return match.knn_within(q, t, ["tile_idx"], distance=match.hamming)
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("tile_idx"), F.col("vec_id").alias("desc_id"), F.array(word(1), word(33)).alias("desc"))
+    return match.knn_within(t.withColumnRenamed("desc_id", "query_idx"), t, ["tile_idx"], distance=match.hamming)
 
 
 @query("match_offsets", f"""
@@ -501,11 +494,44 @@ def telemetry_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("telemetry_sidecars", f"""
-WITH {TELEMETRY_SQL} SELECT msg, CAST(roll_deg AS DOUBLE) AS roll_deg, CAST(pitch_deg AS DOUBLE) AS pitch_deg, round(alt_m, 2) AS alt_m, round(lat, 7) AS lat, round(lon, 7) AS lon FROM telemetry""")
+WITH {TELEMETRY_SQL} SELECT msg, round(roll_deg + (msg % 1009) / 99991e0, 4) + 0e0 AS roll_deg, round(pitch_deg - (msg % 1013) / 99989e0, 4) + 0e0 AS pitch_deg, round((msg % 360) + (msg % 997) / 99971e0, 4) AS yaw_deg, round(alt_m, 1) AS alt_m, round(lat, 7) AS lat, round(lon, 7) AS lon FROM telemetry""")
 def telemetry_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = tiles.attitude_json(F.col("roll_deg"), F.col("pitch_deg"), F.lit(0.0), F.col("alt_m"), F.col("lat"), F.col("lon"))
+    m = F.col("msg")
+    j = tiles.attitude_json(F.col("roll_deg") + m % 1009 / 99991.0, F.col("pitch_deg") - m % 1013 / 99989.0, m % 360 + m % 997 / 99971.0, F.col("alt_m"), F.col("lat"), F.col("lon"))
     back = F.from_json(j, tiles.ATTITUDE)
-    return views.telemetry(spark, sf_dir).select("msg", back.alias("a")).select("msg", "a.roll_deg", "a.pitch_deg", "a.alt_m", "a.lat", "a.lon")
+    return views.telemetry(spark, sf_dir).select("msg", back.alias("a")).select("msg", (F.col("a.roll_deg") + 0.0).alias("roll_deg"), (F.col("a.pitch_deg") + 0.0).alias("pitch_deg"), "a.yaw_deg", "a.alt_m", "a.lat", "a.lon")
+
+
+@query("telemetry_positions", f"""
+WITH {TELEMETRY_SQL} SELECT flight, msg, epoch_us(ts) AS time_usec, (epoch_us(ts) // 1000 - 315964800000) // 604800000 AS time_week, (epoch_us(ts) // 1000 - 315964800000) % 604800000 AS time_week_ms,
+  CAST(trunc(lat * 1e7) AS BIGINT) AS lat_e7, CAST(trunc(lon * 1e7) AS BIGINT) AS lon_e7, alt_m AS alt, roll_deg / 10e0 AS vn, pitch_deg / 10e0 AS ve, CASE WHEN inliers > 80 THEN 10e0 WHEN inliers >= 40 THEN 30e0 WHEN inliers >= 20 THEN 60e0 ELSE 100e0 END AS horiz_accuracy,
+  1 AS gps_id, 176 AS ignore_flags, 3 AS fix_type, 10 AS satellites_visible, 0 AS yaw, 1e0 AS hdop, 1.5e0 AS vdop, 0e0 AS vd, 0.3e0 AS speed_accuracy, 0e0 AS vert_accuracy FROM telemetry WHERE inliers >= 10""")
+def telemetry_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.telemetry(spark, sf_dir).where(quality.is_sent(F.col("inliers")))
+    return tiles.position_messages(rows, F.col("roll_deg") / 10.0, F.col("pitch_deg") / 10.0, quality.hacc_m(F.col("inliers")))
+
+
+_NEWEST = "last_value({} IGNORE NULLS) OVER (PARTITION BY flight ORDER BY ts, msg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@query("telemetry_state", f"""
+WITH m AS (SELECT user_id AS flight, event_id AS msg, ts, event_id % 3 AS kind, event_id FROM events)
+SELECT flight, msg, {_NEWEST.format("CASE WHEN kind = 0 THEN (250000000 + event_id) / 1e7 END")} AS lat, {_NEWEST.format("CASE WHEN kind = 0 THEN event_id % 90000 / 1e3 END")} AS alt_m,
+  round({_NEWEST.format("CASE WHEN kind = 1 THEN degrees((event_id % 7) / 10e0) END")}, 9) AS yaw_deg, {_NEWEST.format("CASE WHEN kind = 2 AND event_id % 5 <> 0 THEN event_id % 2 = 1 END")} AS armed, {_NEWEST.format("CASE WHEN kind = 0 THEN 1 END")} IS NOT NULL AS gps_ok FROM m""")
+def telemetry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    kinds = F.element_at(F.array(*map(F.lit, ("GLOBAL_POSITION_INT", "ATTITUDE", "HEARTBEAT"))), (e % 3 + 1).cast("int"))
+    angle = (e % 7) / 10.0
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("flight"), e.alias("msg"), "ts", kinds.alias("kind"), (250000000 + e).alias("lat_e7"), (1214000000 + e).alias("lon_e7"), (e % 90000).alias("rel_alt_mm"), angle.alias("roll_rad"), angle.alias("pitch_rad"), angle.alias("yaw_rad"), (e % 2 * 128 + 1).alias("base_mode"), F.when(e % 5 == 0, 6).otherwise(2).alias("vehicle_type"))
+    return tiles.merged_state(rows).select("flight", "msg", "lat", "alt_m", F.round("yaw_deg", 9).alias("yaw_deg"), "armed", "gps_ok")
+
+
+@query("index_downloads", f"""
+WITH {DESCRIPTORS_SQL}, p AS (SELECT x, y FROM (SELECT unnest(range(438988, 438997)) AS x) a, (SELECT unnest(range(224428, 224440)) AS y) b), t AS (SELECT DISTINCT tile_x, tile_y FROM descriptors)
+SELECT 19 AS zoom, count(tile_x) AS ok, count(*) - count(tile_x) AS failed FROM p LEFT JOIN t ON x = tile_x AND y = tile_y""")
+def index_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = spark.range(9 * 12).select(F.lit(19).alias("zoom"), (F.col("id") % 9 + 438988).cast("int").alias("tile_x"), F.floor(F.col("id") / 9 + 224428).cast("int").alias("tile_y"))
+    return tiles.download_counts(plan, views.descriptors(spark, sf_dir))
 
 
 @query("telemetry_simulated", """
@@ -556,15 +582,10 @@ def track_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track.accuracy(views.legs(spark, sf_dir), Odometry()).withColumn("hacc_m", F.round("hacc_m", 6))
 
 
-@query("track_resend", f"""
-WITH {TELEMETRY_SQL}, s AS (SELECT flight, msg, ts, lead(ts) OVER (PARTITION BY flight ORDER BY ts, msg) AS nxt FROM telemetry WHERE msg % 10 = 0),
+@query("track_resend_all", f"""
+WITH {TELEMETRY_SQL}, s AS (SELECT flight, msg, ts, lead(ts) OVER (PARTITION BY flight ORDER BY ts, msg) AS nxt FROM telemetry),
 u AS (SELECT flight, msg, ts, coalesce(greatest(ts, nxt - INTERVAL 1 MICROSECOND), ts) AS til FROM s)
 SELECT flight, msg, unnest(generate_series(ts, til, INTERVAL 3600 SECONDS)) AS sent FROM u""")
-def track_resend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resent(views.telemetry(spark, sf_dir).where("msg % 10 = 0"))
-
-
-@query("track_resend_all", SQL["track_resend"].replace(" WHERE msg % 10 = 0", ""))
 def track_resend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resent(views.telemetry(spark, sf_dir))
 
@@ -573,16 +594,11 @@ def _resent(rows: DataFrame) -> DataFrame:
     return track.resend(rows.select("flight", "msg", "ts"), 3600).select("flight", "msg", "sent")
 
 
-@query("track_interpolate", f"""
-WITH {TELEMETRY_SQL}, m AS (SELECT msg AS move, lat AS lat0, lon AS lon0, lat + 0.001e0 AS lat1, lon - 0.002e0 AS lon1, (msg % 7) / 2e0 AS seconds FROM telemetry WHERE msg % 5 = 0),
+@query("track_interpolate_all", f"""
+WITH {TELEMETRY_SQL}, m AS (SELECT msg AS move, lat AS lat0, lon AS lon0, lat + 0.001e0 AS lat1, lon - 0.002e0 AS lon1, (msg % 7) / 2e0 AS seconds FROM telemetry),
 n AS (SELECT *, CAST(greatest(1, floor(seconds * 5)) AS INT) AS n FROM m), e AS (SELECT *, CAST(unnest(range(0, n + 1)) AS INT) AS i FROM n)
 SELECT move, i, round(CASE WHEN i = n THEN lat1 ELSE lat0 + (lat1 - lat0) * (CAST(i AS DOUBLE) / n) END, 7) AS lat, round(CASE WHEN i = n THEN lon1 ELSE lon0 + (lon1 - lon0) * (CAST(i AS DOUBLE) / n) END, 7) AS lon,
        round(CASE WHEN i = n THEN 0 ELSE (lat1 - lat0) * 111111e0 / nullif(seconds, 0) END, 5) AS vn, round(CASE WHEN i = n THEN 0 ELSE (lon1 - lon0) * 111111e0 * cos(radians(lat0)) / nullif(seconds, 0) END, 5) AS ve FROM e""")
-def track_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _interpolated(views.telemetry(spark, sf_dir).where("msg % 5 = 0"))
-
-
-@query("track_interpolate_all", SQL["track_interpolate"].replace(" WHERE msg % 5 = 0", ""))
 def track_interpolate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _interpolated(views.telemetry(spark, sf_dir))
 
@@ -592,15 +608,10 @@ def _interpolated(rows: DataFrame) -> DataFrame:
     return track.interpolate(moves, 5.0).withColumns({"lat": F.round("lat", 7), "lon": F.round("lon", 7), "vn": F.round("vn", 5), "ve": F.round("ve", 5)})
 
 
-@query("track_out_and_back", f"""
-WITH {TELEMETRY_SQL}, p AS (SELECT msg, lat, lon, list_concat(range(1, 11), list_reverse(range(0, 10))) AS path FROM telemetry WHERE msg % 100 = 0),
+@query("track_out_and_back_all", f"""
+WITH {TELEMETRY_SQL}, p AS (SELECT msg, lat, lon, list_concat(range(1, 11), list_reverse(range(0, 10))) AS path FROM telemetry),
 w AS (SELECT msg, lat, lon, unnest(range(0, len(path))) AS i, unnest(path) AS k FROM p)
 SELECT msg, CAST(i AS INT) AS i, round(lat + k * 20e0 / 111111e0, 7) AS lat, round(lon, 7) AS lon FROM w""")
-def track_out_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _waypoints(views.telemetry(spark, sf_dir).where("msg % 100 = 0"))
-
-
-@query("track_out_and_back_all", SQL["track_out_and_back"].replace(" WHERE msg % 100 = 0", ""))
 def track_out_and_back_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _waypoints(views.telemetry(spark, sf_dir))
 
@@ -610,6 +621,35 @@ def _waypoints(rows: DataFrame) -> DataFrame:
     return rows.select("msg", "i", F.round("p.lat", 7).alias("lat"), F.round("p.lon", 7).alias("lon"))
 
 
+_OWN_SQL = """lat_a AS (SELECT *, CASE WHEN anchor THEN 25.02e0 + 0.07e0 * ((leg * 7919) % 10007) / 10007 END AS lat_own, CASE WHEN anchor AND leg % 4 <> 0 THEN 121.43e0 + 0.08e0 * ((leg * 104729) % 10009) / 10009 END AS lon_own,
+  CASE WHEN anchor THEN CAST((leg * 37) % 360 AS DOUBLE) END AS heading_own, CASE WHEN anchor THEN 40e0 + leg % 30 END AS alt_own, CASE WHEN anchor AND leg % 3 <> 0 THEN 0.5e0 + (leg % 10) / 4e0 END AS hacc_own, ((leg * 11) % 9 - 4) / 2e0 AS climb FROM legs)"""
+_BASE = "coalesce(first_value(CASE WHEN anchor THEN {}_own END) OVER w, {})"
+
+
+def _anchored_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legs whose anchors have their own fix; some lack the longitude or the accuracy."""
+    k = F.col("leg")
+    own = {"anchor_lat": 25.02 + 0.07 * ((k * 7919) % 10007) / 10007, "anchor_lon": F.when(k % 4 != 0, 121.43 + 0.08 * ((k * 104729) % 10009) / 10009), "anchor_heading": ((k * 37) % 360).cast("double"), "anchor_alt_m": 40.0 + k % 30, "anchor_hacc_m": F.when(k % 3 != 0, 0.5 + k % 10 / 4.0)}
+    return views.legs(spark, sf_dir).withColumns({c: F.when(F.col("anchor"), v) for c, v in own.items()}).withColumn("altitude_change_m", ((k * 11) % 9 - 4) / 2.0)
+
+
+@query("track_anchored", f"""
+WITH RECURSIVE {LEGS_SQL}, {_OWN_SQL}, s AS (SELECT *, sum(anchor::INT) OVER (PARTITION BY flight ORDER BY ts, leg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment, ok AND NOT anchor AS moves FROM lat_a),
+h AS (SELECT *, sum((NOT anchor)::INT) OVER w AS legs_since_anchor, {_BASE.format('lat', '25.05e0')} AS lat0, {_BASE.format('lon', '121.47e0')} AS lon0, {_BASE.format('alt', '0e0')} + sum(CASE WHEN moves THEN climb ELSE 0 END) OVER w AS alt_m,
+  {_BASE.format('heading', '0e0')} + 90 + sum(CASE WHEN moves THEN yaw_deg ELSE 0 END) OVER w AS heading FROM s WINDOW w AS (PARTITION BY flight, segment ORDER BY ts, leg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT *, CASE WHEN moves THEN -dy_m * cos(radians(heading)) - dx_m * sin(radians(heading)) ELSE 0 END AS n, CASE WHEN moves THEN -dy_m * sin(radians(heading)) + dx_m * cos(radians(heading)) ELSE 0 END AS e FROM h),
+a AS (SELECT *, lat0 + sum(n / 111111e0) OVER (PARTITION BY flight, segment ORDER BY ts, leg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lat FROM m),
+b AS (SELECT *, lon0 + sum(e / (111111e0 * cos(radians(lat)))) OVER (PARTITION BY flight, segment ORDER BY ts, leg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lon FROM a),
+o AS (SELECT *, row_number() OVER (PARTITION BY flight ORDER BY ts, leg) AS k FROM lat_a), z AS (SELECT DISTINCT flight FROM legs),
+r AS (SELECT flight, CAST(-1 AS BIGINT) AS leg, CAST(0 AS BIGINT) AS k, 0.5e0 AS h FROM z
+      UNION ALL SELECT o.flight, o.leg, o.k, CASE WHEN anchor THEN coalesce(hacc_own, 0.5e0) WHEN NOT ok THEN least(50e0, h + 5) WHEN confident THEN least(50e0, sqrt(h * h + pow(0.15e0 * magnitude_m, 2))) ELSE least(50e0, sqrt(h * h + pow(0.6e0 * magnitude_m, 2)) + 2) END FROM r JOIN o ON o.flight = r.flight AND o.k = r.k + 1)
+SELECT b.flight, b.leg, CAST(legs_since_anchor AS BIGINT) AS legs_since_anchor, heading, round(lat, 7) AS lat, round(lon, 7) AS lon, alt_m, round(h, 6) AS hacc_m FROM b JOIN r ON b.flight = r.flight AND b.leg = r.leg""")
+def track_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors with their own fix, heading, altitude and accuracy; the camera is mounted 90 degrees from forward."""
+    rows = runs.tracked(_anchored_legs(spark, sf_dir), HOME, mount_deg=90.0, altitude=True)
+    return rows.select("flight", "leg", "legs_since_anchor", "heading", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), "alt_m", F.round("hacc_m", 6).alias("hacc_m"))
+
+
 # Surveys
 
 
@@ -649,21 +689,16 @@ def survey_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("shown", survey.display(F.col("status"), F.col("err_m")))
 
 
-@query("survey_wait", f"""
-WITH {TELEMETRY_SQL}, s AS (SELECT flight, ts AS started FROM telemetry WHERE msg % 10 = 0),
+@query("survey_wait_all", f"""
+WITH {TELEMETRY_SQL}, s AS (SELECT flight, ts AS started FROM telemetry),
 r AS (SELECT s.flight, started, min(ts) AS reached FROM s JOIN telemetry t ON s.flight = t.flight AND ts >= started AND ts < started + INTERVAL 86400 SECONDS AND abs(alt_m - 40) <= 2.5e0 GROUP BY ALL)
 SELECT s.flight, s.started, reached FROM s LEFT JOIN r ON s.flight = r.flight AND s.started = r.started""")
-def survey_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _waited(views.telemetry(spark, sf_dir), "msg % 10 = 0")
-
-
-@query("survey_wait_all", SQL["survey_wait"].replace(" WHERE msg % 10 = 0", ""))
 def survey_wait_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _waited(views.telemetry(spark, sf_dir), "true")
+    return _waited(views.telemetry(spark, sf_dir))
 
 
-def _waited(rows: DataFrame, starts: str) -> DataFrame:
-    return survey.wait_until(rows.select("flight", "ts", "alt_m"), rows.where(starts).select("flight", F.col("ts").alias("started")), F.abs(F.col("alt_m") - 40) <= 2.5, 86400)
+def _waited(rows: DataFrame) -> DataFrame:
+    return survey.wait_until(rows.select("flight", "ts", "alt_m"), rows.select("flight", F.col("ts").alias("started")), F.abs(F.col("alt_m") - 40) <= 2.5, 86400)
 
 
 # Index and robust fits
@@ -672,31 +707,24 @@ def _waited(rows: DataFrame, starts: str) -> DataFrame:
 @query("index_binary", f"WITH {DESCRIPTORS_SQL} SELECT zoom, tile_x, tile_y, count(*) AS n, round(sum(d[1]), 4) AS first_sum, round(sum(d[64]), 4) AS last_sum FROM descriptors GROUP BY ALL")
 def index_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The descriptors written in the binary layout and read again."""
-    packed = index.to_binary(views.descriptors(spark, sf_dir).where(F.size("desc") == 64), 64)
-    decoded = packed.mapInArrow(lambda it: _decoded(it), index.ROW_SCHEMA)
+    folder = scratch(spark, "binary")
+    index.write_binary(views.descriptors(spark, sf_dir).where(F.size("desc") == 64), folder, 64)
+    decoded = index.read_binary(spark, folder, 64)
     return decoded.groupBy("zoom", "tile_x", "tile_y").agg(F.count("*").alias("n"), F.round(F.sum(F.element_at("desc", 1).cast("double")), 4).alias("first_sum"), F.round(F.sum(F.element_at("desc", 64).cast("double")), 4).alias("last_sum"))
 
 
-def _decoded(batches):
-    import pyarrow as pa
-
-    for b in batches:
-        for blob in b.column(1).to_pylist():
-            for k, (x, y, zoom, desc) in enumerate(index.decode(blob, 64)):
-                n = len(desc)
-                yield pa.record_batch([*[pa.array([v] * n, pa.int32()) for v in (k, x, y, zoom)], pa.array(range(n), pa.int32()), pa.array(list(desc), pa.list_(pa.float32()))], names=["tile_idx", "tile_x", "tile_y", "zoom", "desc_id", "desc"])
-
-
 @query("index_stats", f"""WITH {DESCRIPTORS_SQL}, n AS (SELECT tile_idx, count(*) AS n, count(CASE WHEN len(d) = 64 THEN 1 END) AS good FROM descriptors WHERE desc_id % 17 <> 0 OR tile_idx <> 3 GROUP BY 1)
 SELECT count(CASE WHEN good >= 45 THEN 1 END) AS tiles, count(CASE WHEN good < 45 THEN 1 END) AS skipped, CAST(coalesce(sum(CASE WHEN good >= 45 THEN good END), 0) AS BIGINT) AS descriptors FROM n""")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.descriptors(spark, sf_dir).where("desc_id % 17 <> 0 or tile_idx <> 3")
-    n = rows.groupBy("tile_idx").agg(F.count(F.when(F.size("desc") == 64, 1)).alias("good"))
-    keep = F.col("good") >= 45
-    return n.agg(F.count(F.when(keep, 1)).alias("tiles"), F.count(F.when(~keep, 1)).alias("skipped"), F.coalesce(F.sum(F.when(keep, F.col("good"))), F.lit(0)).alias("descriptors"))
+    w = W.partitionBy("tile_idx")
+    kept = rows.where(F.size("desc") == 64).withColumn("good", F.count("*").over(w)).where("good >= 45")
+    return localize.index_stats(rows.select("zoom", "tile_x", "tile_y").distinct(), kept)
 
 
-@query("robust_fits")
+@query("robust_fits", """
+WITH n AS (SELECT user_id AS flight, count(*) AS n FROM events GROUP BY 1)
+SELECT flight, n, n - (n + 2) // 3 AS good, CASE WHEN n >= 8 THEN n - (n + 2) // 3 END AS similar, CASE WHEN n >= 8 THEN n - (n + 2) // 3 END AS projective, CASE WHEN n >= 8 THEN round(1 + (flight % 7) / 50e0, 6) END AS scale FROM n""")
 def robust_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each flight's points moved by a known similarity and homography, every third one wrong, and what is found again."""
     import numpy as np
@@ -712,7 +740,7 @@ def robust_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
         m, inliers = robust.similarity(src, dst, seed=int(key[0]))
         h, mask = robust.homography(src, dst, seed=int(key[0]))
         good = int(len(src) - len(src[::3]))
-        return pd.DataFrame({"flight": [key[0]], "n": [len(src)], "good": [good], "similar": [int(inliers.sum())], "projective": [int(mask.sum())], "scale": [None if m is None else float(np.hypot(m[0, 0], m[1, 0]))]})
+        return pd.DataFrame({"flight": [key[0]], "n": [len(src)], "good": [good], "similar": [int(inliers.sum())], "projective": [int(mask.sum())], "scale": [None if m is None else round(float(np.hypot(m[0, 0], m[1, 0])), 6)]})
 
     return views.telemetry(spark, sf_dir).select("flight", "msg", "lat", "lon").groupBy("flight").applyInPandas(fit, "flight bigint, n bigint, good bigint, similar bigint, projective bigint, scale double")
 
@@ -732,6 +760,14 @@ def run_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.compared(runs.captures(rows, FOUR_HOURS), estimates).select("flight", "msg", F.round("error_m", 3).alias("error_m"), "hacc_m", "sent")
 
 
+@query("run_passive", SQL["run_captures"].replace("abs(roll_deg) <= 15 AND abs(pitch_deg) <= 15", "true").replace(_hysteresis_sql(30, 10), _hysteresis_sql(30, 20)))
+def run_passive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A passive run: it goes on down to 20 m and takes photos at any tilt."""
+    rows = views.telemetry(spark, sf_dir)
+    estimates = rows.where(F.col("inliers") >= PASSIVE.min_inliers).select("flight", "msg", (F.col("lat") + (F.col("msg") % 50) * 1e-6).alias("lat_est"), (F.col("lon") - (F.col("msg") % 70) * 1e-6).alias("lon_est"), "inliers")
+    return runs.compared(runs.captures(rows, FOUR_HOURS, PASSIVE, guarded=False), estimates, PASSIVE).select("flight", "msg", F.round("error_m", 3).alias("error_m"), "hacc_m", "sent")
+
+
 @query("run_tracked", f"SELECT a.flight, a.leg, a.lat, a.lon, a.heading, b.hacc_m, b.hacc_m < 25 AS trusted FROM ({SQL['track_dead_reckoning']}) a JOIN ({SQL['track_accuracy']}) b ON a.flight = b.flight AND a.leg = b.leg")
 def run_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = runs.tracked(views.legs(spark, sf_dir), HOME)
@@ -749,24 +785,19 @@ def run_leg_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.leg_errors(pairs).select("flight", "msg", F.round("true_m", 2).alias("true_m"), F.round("error_pct", 2).alias("error_pct"))
 
 
-@query("run_survey", f"""
-WITH {TELEMETRY_SQL}, p AS (SELECT flight, ts AS started, (msg // 10) % 5 AS pos_idx, (msg // 50) % 5 AS alt_idx, 20e0 + 10 * ((msg // 50) % 5) AS goal FROM telemetry WHERE msg % 10 = 0),
+@query("run_survey_all", f"""
+WITH {TELEMETRY_SQL}, p AS (SELECT flight, ts AS started, (msg // 10) % 5 AS pos_idx, (msg // 50) % 5 AS alt_idx, 20e0 + 10 * ((msg // 50) % 5) AS goal FROM telemetry),
 r AS (SELECT p.flight, started, min(ts) AS ts FROM p JOIN telemetry t ON p.flight = t.flight AND ts >= started AND ts < started + INTERVAL 172800 SECONDS AND abs(t.alt_m - goal) <= 5 GROUP BY ALL),
 c AS (SELECT ['C', 'N', 'E', 'S', 'W'][pos_idx + 1] AS pos_name, goal AS alt_m, CASE WHEN t.inliers >= 6 THEN t.inliers / 4e0 END AS err_m FROM p LEFT JOIN r ON p.flight = r.flight AND p.started = r.started LEFT JOIN telemetry t ON r.flight = t.flight AND r.ts = t.ts)
 SELECT alt_m, {", ".join(f"min(CASE WHEN pos_name = '{p}' THEN err_m END) AS {chr(34)}{p}{chr(34)}" for p in PLACES)}, round(avg(err_m), 6) AS mean_err_m, count(err_m) AS n_cells FROM c GROUP BY alt_m""")
-def run_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _surveyed(views.telemetry(spark, sf_dir), "msg % 10 = 0")
-
-
-@query("run_survey_all", SQL["run_survey"].replace(" WHERE msg % 10 = 0", ""))
 def run_survey_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _surveyed(views.telemetry(spark, sf_dir), "true")
+    return _surveyed(views.telemetry(spark, sf_dir))
 
 
-def _surveyed(rows: DataFrame, planned: str) -> DataFrame:
+def _surveyed(rows: DataFrame) -> DataFrame:
     m = F.col("msg")
     pos, alt = F.floor(m / 10) % 5, F.floor(m / 50) % 5
-    plan = rows.where(planned).select("flight", F.col("ts").alias("started"), pos.alias("pos_idx"), F.element_at(F.array(*map(F.lit, PLACES)), (pos + 1).cast("int")).alias("pos_name"), alt.alias("alt_idx"), (20.0 + 10 * alt).alias("alt_m"))
+    plan = rows.select("flight", F.col("ts").alias("started"), pos.alias("pos_idx"), F.element_at(F.array(*map(F.lit, PLACES)), (pos + 1).cast("int")).alias("pos_name"), alt.alias("alt_idx"), (20.0 + 10 * alt).alias("alt_m"))
     errors = rows.where(F.col("inliers") >= LIVE.min_inliers).select("flight", "ts", (F.col("inliers") / 4.0).alias("err_m"))
     return runs.survey_report(runs.survey_cells(rows, plan, errors, 5.0, 172800), PLACES).withColumn("mean_err_m", F.round("mean_err_m", 6))
 
@@ -789,3 +820,19 @@ def stream_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_throttle", THROTTLE_SQL)
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.run_available(live.throttle(_stream(spark, sf_dir), FOUR_HOURS), scratch(spark, "stream"))
+
+
+@query("stream_capture_slots", SQL["telemetry_capture_slots"])
+def stream_capture_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("msg")
+    level = quality.is_level((m * 31) % 41 - 20, (m * 17) % 37 - 18)
+    rows = _stream(spark, sf_dir).withColumns({"fix": m % 11 != 0, "level": level})
+    return live.run_available(live.capture_slots(rows, FOUR_HOURS), scratch(spark, "stream"))
+
+
+@query("stream_tracked", f"SELECT a.flight, a.leg, a.heading, a.lat, a.lon, b.hacc_m FROM ({SQL['track_dead_reckoning']}) a JOIN ({SQL['track_accuracy']}) b ON a.flight = b.flight AND a.leg = b.leg")
+def stream_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    found = live.run_available(live.tracked(views.legs_of(rows), HOME), scratch(spark, "stream"))
+    return found.select("flight", "leg", "heading", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.round("hacc_m", 6).alias("hacc_m"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.shared import staged
+
 ROW_SCHEMA = "tile_idx int, tile_x int, tile_y int, zoom int, desc_id int, desc array<float>"
 
 
@@ -64,15 +66,37 @@ def read_binary(spark: SparkSession, path: str, dim: int = 128) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, ROW_SCHEMA)
 
 
-def to_binary(descriptors: DataFrame, dim: int = 128) -> DataFrame:
-    """A row (zoom, content) with the binary index of each zoom; descriptors of another length are left out.
+def write_binary(descriptors: DataFrame, folder: str, dim: int = 128, columns: int | None = 64) -> DataFrame:
+    """Write binary index files of bounded areas (`columns` tile columns each) below a folder that executors share: file,
+    bytes. A repeated task replaces its files."""
+    import pyarrow.fs as pafs
+
+    def sink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for b in batches:
+            for zoom, area, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                name = f"{root}/z{zoom}-{area}.bin"
+                with fs.open_output_stream(name) as out:
+                    out.write(content)
+                yield pa.record_batch([pa.array([name]), pa.array([len(content)], pa.int64())], names=["file", "bytes"])
+
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root)
+    return staged(to_binary(descriptors, dim, columns).select("zoom", "area", "content").mapInArrow(sink, "file string, bytes bigint"), "binary-files")
+
+
+def to_binary(descriptors: DataFrame, dim: int = 128, columns: int | None = None) -> DataFrame:
+    """A row (zoom, area, content) with the binary index of each zoom, or of each so many tile columns of it; descriptors of
+    another length are left out.
 
     A native tool loads one file for its area at once, so a file's descriptors are one group by nature.
     """
+    area = F.lit(0) if columns is None else F.floor(F.col("tile_x") / columns).cast("int")
+
     def build(key: tuple, table: pa.Table) -> pa.Table:
         frame = table.to_pandas().sort_values(["tile_idx", "desc_id"])
         tiles = [(int(t.tile_x.iloc[0]), int(t.tile_y.iloc[0]), int(t.zoom.iloc[0]), np.stack(t["desc"].to_numpy())) for _, t in frame.groupby("tile_idx")]
-        return pa.table({"zoom": pa.array([key[0].as_py()], pa.int32()), "content": pa.array([encode(tiles)], pa.binary())})
+        return pa.table({"zoom": pa.array([key[0].as_py()], pa.int32()), "area": pa.array([key[1].as_py()], pa.int32()), "content": pa.array([encode(tiles)], pa.binary())})
 
-    rows = descriptors.where(F.size("desc") == dim).select("tile_idx", "tile_x", "tile_y", F.col("zoom").cast("int").alias("zoom"), "desc_id", F.col("desc").cast("array<float>").alias("desc"))
-    return rows.groupBy("zoom").applyInArrow(build, "zoom int, content binary")
+    rows = descriptors.where(F.size("desc") == dim).select("tile_idx", "tile_x", "tile_y", F.col("zoom").cast("int").alias("zoom"), area.alias("area"), "desc_id", F.col("desc").cast("array<float>").alias("desc"))
+    return rows.groupBy("zoom", "area").applyInArrow(build, "zoom int, area int, content binary")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilewright.functions import geo
+
 PLACE = r"/(\d+)/(\d+)/(\d+)\.png$"
 
 
@@ -58,8 +60,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType = HOME) -> Da
 
 
 def attitude_json(roll: Column, pitch: Column, yaw: Column, alt: Column, lat: Column, lon: Column) -> Column:
-    """The sidecar record of a photo: angles and altitude with 2 places, position with 7."""
-    return F.to_json(F.struct(F.round(roll, 2).alias("roll_deg"), F.round(pitch, 2).alias("pitch_deg"), F.round(yaw, 2).alias("yaw_deg"), F.round(alt, 2).alias("alt_m"), F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon")))
+    """The sidecar record of a photo: angles with 4 places, altitude with 1, position with 7."""
+    return F.to_json(F.struct(F.round(roll, 4).alias("roll_deg"), F.round(pitch, 4).alias("pitch_deg"), F.round(yaw, 4).alias("yaw_deg"), F.round(alt, 1).alias("alt_m"), F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon")))
 
 
 def gps_input(rows: DataFrame, hacc: Column, ignore: int = 191) -> DataFrame:
@@ -67,6 +69,38 @@ def gps_input(rows: DataFrame, hacc: Column, ignore: int = 191) -> DataFrame:
     return rows.select("flight", "msg", (F.col("lat") * 1e7).cast("bigint").alias("lat_e7"), (F.col("lon") * 1e7).cast("bigint").alias("lon_e7"), hacc.alias("hacc_m"), F.lit(ignore).alias("ignore_flags"), F.lit(3).alias("fix_type"))
 
 
+def position_messages(rows: DataFrame, vn: Column, ve: Column, hacc: Column) -> DataFrame:
+    """Full message rows of a second receiver's position (flight, msg, ts, lat, lon, alt_m): with the time, velocity and
+    accuracy that an estimator sends; vertical velocity, speed and vertical accuracy are marked as ignored. Nothing is sent."""
+    now = geo.gps_week_ms(F.col("ts"))
+    fixed = {"gps_id": 1, "ignore_flags": 16 + 32 + 128, "fix_type": 3, "satellites_visible": 10, "yaw": 0}
+    reals = {"hdop": 1.0, "vdop": 1.5, "vd": 0.0, "speed_accuracy": 0.3, "vert_accuracy": 0.0}
+    lat, lon = ((F.col(k) * 1e7).cast("bigint").alias(f"{k}_e7") for k in ("lat", "lon"))
+    return rows.select("flight", "msg", F.unix_micros(F.col("ts").cast("timestamp")).alias("time_usec"), now["week"].alias("time_week"), now["ms"].alias("time_week_ms"), lat, lon, F.col("alt_m").alias("alt"), vn.alias("vn"), ve.alias("ve"), hacc.alias("horiz_accuracy"), *[F.lit(v).alias(k) for k, v in (fixed | reals).items()])
+
+
+def download_counts(plan: DataFrame, present: DataFrame) -> DataFrame:
+    """Of each zoom's planned tiles (zoom, tile_x, tile_y): how many are there (ok) and how many are not (failed)."""
+    keys = ["zoom", "tile_x", "tile_y"]
+    found = plan.select(*keys).distinct().join(present.select(*keys).distinct().withColumn("__there", F.lit(True)), keys, "left")
+    return found.groupBy("zoom").agg(F.count("__there").alias("ok"), F.count_if(F.col("__there").isNull()).alias("failed"))
+
+
+def merged_state(messages: DataFrame) -> DataFrame:
+    """Decoded vehicle messages (flight, ts, msg, kind, values in wire units) -> a state row for each: the newest position,
+    attitude and arming so far, in degrees and metres. Heartbeats of ground stations (vehicle_type 6) count for nothing."""
+    from pyspark.sql import Window as W
+
+    now = W.partitionBy("flight").orderBy("ts", "msg").rowsBetween(W.unboundedPreceding, W.currentRow)
+    kind = F.col("kind")
+    position = F.when(kind == "GLOBAL_POSITION_INT", F.struct((F.col("lat_e7") / 1e7).alias("lat"), (F.col("lon_e7") / 1e7).alias("lon"), (F.col("rel_alt_mm") / 1e3).alias("alt_m")))
+    attitude = F.when(kind == "ATTITUDE", F.struct(*[F.degrees(f"{k}_rad").alias(f"{k}_deg") for k in ("roll", "pitch", "yaw")]))
+    heartbeat = F.when((kind == "HEARTBEAT") & (F.coalesce("vehicle_type", F.lit(0)) != 6), F.struct((F.col("base_mode").bitwiseAND(F.lit(128)) != 0).alias("armed")))
+    state = {k: F.last(c, ignorenulls=True).over(now) for k, c in (("p", position), ("a", attitude), ("h", heartbeat))}
+    out = messages.select("flight", "ts", "msg", *[c.alias(k) for k, c in state.items()])
+    return out.select("flight", "ts", "msg", "p.lat", "p.lon", "p.alt_m", "a.roll_deg", "a.pitch_deg", "a.yaw_deg", "h.armed", F.col("p").isNotNull().alias("gps_ok"))
+
+
 def simulated_vehicle(spark: SparkSession, steps: int, lat0: float = 25.05, lon0: float = 121.47) -> DataFrame:
     """Steps of a synthetic flight: a climb, then a swaying altitude, with a position that drifts."""
     from pyspark.sql import Window as W
