@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import staged, text_batches, utf8
+from tilewright.llm.common import BROADCAST_ROWS, lookup, staged, text_batches, utf8
 from tilewright.llm.graph import components
 
 SEED, WORDS, BITS, DISTANCE = 42, 4, 64, 4
@@ -164,9 +164,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     text_batches(docs.sparkSession)
     prints = staged(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(text).alias("fp")), "simhash")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    of_node = _rooted(nodes)
-    names = of_node.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(of_node.join(names, "root").select("fp", "component_id"), "simhash-named")
+    of_node = staged(_rooted(nodes), "simhash-rooted")
+    names = staged(of_node.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
+    named = staged(lookup(of_node.select("root", "fp"), names, ["root"]).select("fp", "component_id"), "simhash-named")  # a large component's nodes are salted
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -177,17 +177,22 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     text_batches(docs.sparkSession)
     text_hash = F.xxhash64(text)
-    prints = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), fingerprint_of(text).alias("fp"), text_hash.alias("h"))
+    named = docs.where(F.col(doc_id).isNotNull())
+    prints = staged(named.select(F.col(doc_id).alias("doc_id"), fingerprint_of(text).alias("fp"), text_hash.alias("h")), "simhash")
     # null ids name no row, but what they link is linked
     unnamed = docs.where(F.col(doc_id).isNull()).select(fingerprint_of(text).alias("fp")).distinct().withColumn("first", F.lit(None))
     nodes = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "fp", "h")).alias("first")).unionByName(unnamed)
     nodes = staged(nodes.groupBy("fp").agg(F.min("first").alias("first")), "simhash-nodes")
     first = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first")).where("first is not null")
-    keep = staged(first.select(F.col("first.doc_id").alias("__keep"), F.col("first.h").alias("__h")), "simhash-kept")
-    kept = docs.join(keep, (F.col(doc_id) == F.col("__keep")) & (text_hash == F.col("__h")), "left_semi")
+    keep = staged(first.select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__of")), "simhash-kept")
+    rows = prints.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__of")).count()
+    gone = staged(rows.join(keep, (rows["__id"] == keep["__id"]) & rows["__of"].eqNullSafe(keep["__of"]), "left_anti").select("__id", "__of"), "simhash-gone")
+    of_row = (F.col(doc_id) == F.col("__id")) & text_hash.eqNullSafe(F.col("__of"))
+    # texts are dealt by id only if too many rows go for these to be broadcast
+    kept = named.join(F.broadcast(gone), of_row, "left_anti") if gone.count() <= BROADCAST_ROWS else named.join(keep, of_row, "left_semi")
     # no more rows share an id and a text than are repeated; only those are dealt again
-    ids = staged(kept.groupBy(F.col(doc_id).alias("__id"), text_hash.alias("__of")).count().where("count > 1").select("__id", "__of"), "simhash-repeated")
+    repeated = rows.where("count > 1").select("__id", "__of")
+    ids = staged(repeated.join(keep, ["__id", "__of"], "left_semi"), "simhash-repeated")
     if not ids.isEmpty():
-        again = (F.col(doc_id) == F.col("__id")) & (text_hash == F.col("__of"))
-        kept = kept.join(ids, again, "left_anti").unionByName(kept.join(ids, again, "left_semi").dropDuplicates([doc_id, text]))
+        kept = kept.join(ids, of_row, "left_anti").unionByName(kept.join(ids, of_row, "left_semi").dropDuplicates([doc_id, text]))
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
