@@ -494,10 +494,11 @@ def telemetry_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("telemetry_sidecars", f"""
-WITH {TELEMETRY_SQL} SELECT msg, round(roll_deg + (msg % 1009) / 99991e0, 4) + 0e0 AS roll_deg, round(pitch_deg - (msg % 1013) / 99989e0, 4) + 0e0 AS pitch_deg, round((msg % 360) + (msg % 997) / 99971e0, 4) AS yaw_deg, round(alt_m, 1) AS alt_m, round(lat, 7) AS lat, round(lon, 7) AS lon FROM telemetry""")
+WITH {TELEMETRY_SQL} SELECT msg, round(roll_deg + (msg % 1009) / 99991e0, 4) + 0e0 AS roll_deg, round(pitch_deg - (msg % 1013) / 99989e0, 4) + 0e0 AS pitch_deg, round((msg % 360) + (msg % 997) / 99971e0, 4) AS yaw_deg, round(alt_m + 0.0013e0, 1) AS alt_m, round(lat, 7) AS lat, round(lon, 7) AS lon FROM telemetry""")
 def telemetry_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angles and altitudes that are no ties of rounding, which engines break differently."""
     m = F.col("msg")
-    j = tiles.attitude_json(F.col("roll_deg") + m % 1009 / 99991.0, F.col("pitch_deg") - m % 1013 / 99989.0, m % 360 + m % 997 / 99971.0, F.col("alt_m"), F.col("lat"), F.col("lon"))
+    j = tiles.attitude_json(F.col("roll_deg") + m % 1009 / 99991.0, F.col("pitch_deg") - m % 1013 / 99989.0, m % 360 + m % 997 / 99971.0, F.col("alt_m") + 0.0013, F.col("lat"), F.col("lon"))
     back = F.from_json(j, tiles.ATTITUDE)
     return views.telemetry(spark, sf_dir).select("msg", back.alias("a")).select("msg", (F.col("a.roll_deg") + 0.0).alias("roll_deg"), (F.col("a.pitch_deg") + 0.0).alias("pitch_deg"), "a.yaw_deg", "a.alt_m", "a.lat", "a.lon")
 
