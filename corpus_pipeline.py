@@ -2,6 +2,10 @@
 
 Toxic documents go, then all but one of each group of near duplicates, then those that a benchmark contaminates; the rest
 are mixed to source weights (rows as often as the mix takes them) and dealt to shards.
+
+Defined cases: null and empty texts are not toxic, form one near-duplicate group with each other and have nothing that the mix
+could take; rows with a null doc_id are never a group's kept document but are all kept, as they have no name; an empty table
+gives empty stages; all but the last stage return the columns that they were given, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,7 +52,8 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: A learned classifier and fingerprints are beyond SQL; tests hold each stage against a brute-force version.
+#: A learned classifier and fingerprints are beyond SQL. Tests hold near duplicates, decontamination and the words that the mix
+#: takes against brute force, and the classifier and shards against their properties.
 ORACLE_SQL = None
 
 
