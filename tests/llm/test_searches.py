@@ -137,9 +137,9 @@ def test_long_runs_are_cut_exactly(monkeypatch):
     rng = random.Random(6)
     base = rng.getrandbits(64)
     fps = np.array(sorted({base ^ sum(1 << b for b in rng.sample(range(22, 64), rng.randint(0, 6))) for _ in range(300)}), np.uint64)
-    whole = simhash.run_links(fps, 3)
+    whole = simhash.run_links(fps)
     monkeypatch.setattr(simhash, "LARGE", 10)
-    cut = simhash.run_links(fps, 3)
+    cut = simhash.run_links(fps)
 
     def groups(links):
         ids = {int(x): i for i, x in enumerate(fps)}
@@ -153,6 +153,36 @@ def test_long_runs_are_cut_exactly(monkeypatch):
     assert groups(whole) == groups(cut)
 
 
+def test_hot_keys_are_dealt_exactly(spark, monkeypatch):
+    """Many fingerprints that share their segments, and some that share none: the same links however keys are cut."""
+    rng = random.Random(9)
+    rows = {rng.getrandbits(64) for _ in range(40)}
+    for base in [rng.getrandbits(64) for _ in range(3)]:
+        for _ in range(150):
+            rows.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))))
+    rows = sorted(rows)
+    frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in rows], "fp bigint")
+    wanted = brute_components(list(enumerate(rows)))
+    monkeypatch.setattr(simhash, "LARGE", 12)
+    marked, any_hot = simhash._hot_keys(frame, "fp")
+    hot = {r.fp % (1 << 64): r["__hot"] % (1 << 64) for r in marked.collect()}
+    assert any_hot and len(hot) == len(rows) and any(hot.values())
+    runs = {}
+    for x in rows:
+        for first, bits in simhash.SEGMENTS:
+            for j in range(first, first + bits):
+                runs.setdefault((j, x >> first & ((1 << bits) - 1) & ~(1 << j - first)), []).append(x)
+    for (j, _), run in runs.items():  # a key is hot for all its rows or for none, and never missed
+        assert len({hot[x] >> j & 1 for x in run}) == 1 and (len(run) <= 12 or hot[run[0]] >> j & 1)
+    pairs = simhash.links(frame).collect()
+    root = {x: i for i, x in enumerate(rows)}
+    for _ in rows:
+        for r in pairs:
+            a, b = r.a % (1 << 64), r.b % (1 << 64)
+            root[a] = root[b] = min(root[a], root[b])
+    assert [root[x] for x in rows] == wanted
+
+
 def test_representatives(spark, docs):
     kept = simhash.representatives(docs)
     named = {r.component_id for r in simhash.near_duplicates(docs).collect()} - {None}

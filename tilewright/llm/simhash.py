@@ -5,8 +5,10 @@ segment, so they share a variant of that segment with one bit wiped out. All 64
 fingerprint are joined by equality (rows of a key meet in one sorted run) and verified on the whole fingerprints.
 
 Within a key's run only as many verified links leave as keep its linked fingerprints connected, so a run of n
-fingerprints gives less than n rows; runs that are too long for comparing all with all are cut again, exactly, by the
-bits outside their segment. Equal fingerprints are one node from the start.
+fingerprints gives less than n rows. Equal fingerprints are one node from the start. Hot keys are cut before the shuffle:
+segment values are counted first, and a key that more than LARGE fingerprints may share is dealt by the bits outside its
+segment, in DISTANCE + 1 pieces of which linked fingerprints have one in common. Runs that are still too long for comparing
+all with all are cut in the same way, again and again, by the bits in which they differ.
 
 Defined cases: null and empty texts have the fingerprint zero and are linked like any other; repeated rows keep one row
 each; rows with a null doc_id get their component but never name one, a component of such rows only has a null id; an
@@ -59,11 +61,15 @@ def fingerprint_of(texts: pa.Array) -> pa.Array:
     return pa.array(np.array([fingerprint(x) for x in utf8(texts)], np.uint64).view(np.int64))
 
 
+def _segment(fp: Column, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
+
+
 def variants(fp: Column) -> Column:
     """The 64 one-wildcard keys of a fingerprint: which bit is wiped out, and its segment without it."""
     keys = []
     for first, bits in SEGMENTS:
-        segment = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
+        segment = _segment(fp, first, bits)
         keys += [segment.bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << j))).bitwiseOR(F.lit((first + j) << 32)) for j in range(bits)]
     return F.array(*keys)
 
@@ -86,20 +92,25 @@ def _matrix_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def run_links(fps: np.ndarray, wiped: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """Links that connect what is linked in one key's run of distinct fingerprints."""
-    if len(fps) <= LARGE:
+def _pieces(bits: list[int], distance: int) -> list[int]:
+    """Masks of distance + 1 pieces of the bits: what differs in at most `distance` of these agrees in one piece."""
+    return [sum(1 << int(b) for b in piece) for piece in np.array_split(bits, distance + 1)]
+
+
+def run_links(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
+    """Links that connect what is linked among distinct fingerprints."""
+    differing = int(np.bitwise_or.reduce(fps ^ fps[0])) if len(fps) > LARGE else 0
+    bits = [b for b in range(BITS) if differing >> b & 1]
+    if len(bits) <= distance:  # few rows, or all are linked
         return _matrix_links(fps, distance)
-    first, bits = next(s for s in SEGMENTS if s[0] <= wiped < s[0] + s[1])
-    rest = [b for b in range(BITS) if not first <= b < first + bits]
     out = []
-    for piece in np.array_split(rest, distance + 1):  # one of them is equal for any linked two
-        mask = np.uint64(sum(1 << int(b) for b in piece))
-        order = np.argsort(fps & mask, kind="stable")
-        key = (fps & mask)[order]
+    for mask in _pieces(bits, distance):
+        masked = fps & np.uint64(mask)
+        order = np.argsort(masked, kind="stable")
+        key = masked[order]
         for part in np.split(fps[order], np.flatnonzero(key[1:] != key[:-1]) + 1):
             if len(part) > 1:
-                out += _matrix_links(part, distance)
+                out += run_links(part, distance)  # differs in fewer bits than before
     return out
 
 
@@ -109,7 +120,7 @@ def _links(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
     sizes = np.diff(np.append(starts, len(keys)))
     for k in np.flatnonzero(sizes > SMALL):
         a, n = starts[k], sizes[k]
-        yield from run_links(fps[a : a + n], int(keys[a]) >> 32)
+        yield from run_links(fps[a : a + n])
     small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
     keys, fps = keys[small], fps[small]
     for d in range(1, min(SMALL, len(keys))):
@@ -147,9 +158,44 @@ def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield fresh(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _hot_keys(fps: DataFrame, column: str) -> tuple[DataFrame, bool]:
+    """fps with __hot: the bits that leave a key which more than LARGE fingerprints may share; whether there are any.
+
+    A key's fingerprints have one of two values of its segment, so one of these has more than half of them.
+    """
+    at = [F.struct(F.lit(k).alias("segment"), F.lit(bits).alias("bits"), _segment(F.col(column), first, bits).alias("value")) for k, (first, bits) in enumerate(SEGMENTS)]
+    values = fps.select(F.explode(F.array(*at)).alias("x")).groupBy("x.segment", "x.bits", "x.value").count().where(F.col("count") > LARGE // 2)
+    own = "array(named_struct('value', value, 'wiped', shiftleft(1L, bits) - 1))"
+    beside = "transform(sequence(0, bits - 1), j -> named_struct('value', value ^ shiftleft(1L, j), 'wiped', shiftleft(1L, j)))"
+    around = values.select("segment", F.expr(f"explode(concat({own}, {beside}))").alias("x"))
+    around = staged(around.groupBy("segment", "x.value").agg(F.bit_or("x.wiped").alias("wiped")), "simhash-hot")
+    if around.isEmpty():
+        return fps, False
+    hot = F.lit(0).cast("bigint")
+    for k, (first, bits) in enumerate(SEGMENTS):
+        of_segment = around.where(F.col("segment") == k).select(F.col("value").alias(f"__value{k}"), F.col("wiped").alias(f"__wiped{k}"))
+        fps = lookup(fps.withColumn(f"__value{k}", _segment(F.col(column), first, bits)), of_segment, [f"__value{k}"])
+        hot = hot.bitwiseOR(F.shiftleft(F.coalesce(f"__wiped{k}", F.lit(0).cast("bigint")), first))
+    return fps.withColumn("__hot", hot), True
+
+
+def _dealt(key: Column, fp: Column) -> Column:
+    """The keys of a hot key's parts. They are hashes: what meets by chance is verified like all else."""
+    of_segment = []
+    for first, bits in SEGMENTS:
+        masks = _pieces([b for b in range(BITS) if not first <= b < first + bits], DISTANCE)
+        of_segment.append(F.array(*[F.xxhash64(key, F.lit(i), fp.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(masks)]))
+    wiped = F.shiftright(key, 32)
+    return F.when(wiped < SEGMENTS[1][0], of_segment[0]).when(wiped < SEGMENTS[2][0], of_segment[1]).otherwise(of_segment[2])
+
+
 def links(fps: DataFrame, column: str = "fp") -> DataFrame:
     """(a, b) of linked distinct fingerprints, enough of them to keep all that is linked connected."""
-    keyed = fps.select(F.explode(variants(F.col(column))).alias("key"), F.col(column).alias("fp"))
+    marked, any_hot = _hot_keys(fps.select(column), column)
+    keyed = marked.select(F.explode(variants(F.col(column))).alias("key"), F.col(column).alias("fp"), *(["__hot"] if any_hot else []))
+    if any_hot:
+        is_hot = F.expr("(shiftright(__hot, cast(shiftright(key, 32) AS int)) & 1) = 1")
+        keyed = keyed.select(F.explode(F.when(is_hot, _dealt(F.col("key"), F.col("fp"))).otherwise(F.array("key"))).alias("key"), "fp")
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_scan_runs, "a bigint, b bigint").distinct()
 
 
