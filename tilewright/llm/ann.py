@@ -18,7 +18,7 @@ all are returned; an empty table gives an empty result. Only the named columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,6 +108,13 @@ def vectors_of(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     return rows.where(F.size("x") == dim), dim
 
 
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most ROW_BLOCK rows, however many the session puts in a batch."""
+    for b in batches:
+        for a in range(0, b.num_rows, ROW_BLOCK):
+            yield b.slice(a, ROW_BLOCK)
+
+
 def index(rows: DataFrame, sample: int = SAMPLE, **how) -> tuple[DataFrame, Model]:
     """Every row with codes, norm and error, written to the shared folder; the model it was coded with."""
     held = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(sample).collect()
@@ -115,10 +122,9 @@ def index(rows: DataFrame, sample: int = SAMPLE, **how) -> tuple[DataFrame, Mode
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                codes, norms, errors = shared.value.encode(_unit(_matrix(b.column(1))))
-                yield pa.record_batch([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(errors)], names=["vec_id", "x", "codes", "norm", "error"])
+        for b in _blocks(batches):
+            codes, norms, errors = shared.value.encode(_unit(_matrix(b.column(1))))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(errors)], names=["vec_id", "x", "codes", "norm", "error"])
 
     return staged(rows.mapInArrow(code, "vec_id bigint, x array<double>, codes binary, norm float, error float"), "ann-index"), model
 
@@ -158,7 +164,6 @@ def _nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarra
 def search(coded: DataFrame, model: Model, queries: DataFrame, k: int = 5, shortlist: int = SHORTLIST) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id, x) its k nearest of the coded rows by cosine."""
     spark = coded.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROW_BLOCK))
     queries = staged(queries.groupBy("vec_id").agg(F.min("x").alias("x")), "ann-queries")
     passes = max(1, -(-queries.count() // QUERY_BLOCK))
     folder = scratch(spark, "ann-found")
@@ -168,9 +173,7 @@ def search(coded: DataFrame, model: Model, queries: DataFrame, k: int = 5, short
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q_ids, q, model = shared.value
-            for b in batches:
-                if not b.num_rows or not len(q):
-                    continue
+            for b in _blocks(batches if len(q) else ()):
                 order = np.argsort(b.column(0).to_numpy(), kind="stable")
                 codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
                 hits = list(_nearest(b.column(0).to_numpy()[order], _matrix(b.column(1))[order], codes[order], b.column(3).to_numpy()[order], b.column(4).to_numpy()[order], q_ids, q, model, k, shortlist))
