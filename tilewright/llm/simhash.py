@@ -211,8 +211,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     prints = staged(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(text).alias("fp")), "simhash")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     of_node = staged(_rooted(nodes), "simhash-rooted")
-    names = staged(of_node.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
-    named = staged(lookup(of_node.select("root", "fp"), names, ["root"]).select("fp", "component_id"), "simhash-named")  # a large component's nodes are salted
+    names = of_node.groupBy("root").agg(F.min("least").alias("name"), F.count("*").alias("nodes")).where("nodes > 1")  # others are named by their only node
+    names = staged(names.select("root", "name"), "simhash-names")
+    named = lookup(of_node, names, ["root"])  # a large component's nodes are salted
+    named = staged(named.select("fp", F.coalesce("name", "least").alias("component_id")), "simhash-named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
