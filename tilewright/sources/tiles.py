@@ -59,9 +59,15 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType = HOME) -> Da
     return spark.read.schema(schema).json(path, multiLine=True).where("lat is not null and lon is not null")
 
 
+def _places(x: Column, n: int) -> Column:
+    """x to n places by scaling, so that ties of the scaled value go away from zero."""
+    return F.round(x * F.lit(10.0**n)) / F.lit(10.0**n)
+
+
 def attitude_json(roll: Column, pitch: Column, yaw: Column, alt: Column, lat: Column, lon: Column) -> Column:
     """The sidecar record of a photo: angles with 4 places, altitude with 1, position with 7."""
-    return F.to_json(F.struct(F.round(roll, 4).alias("roll_deg"), F.round(pitch, 4).alias("pitch_deg"), F.round(yaw, 4).alias("yaw_deg"), F.round(alt, 1).alias("alt_m"), F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon")))
+    places = {"roll_deg": (roll, 4), "pitch_deg": (pitch, 4), "yaw_deg": (yaw, 4), "alt_m": (alt, 1), "lat": (lat, 7), "lon": (lon, 7)}
+    return F.to_json(F.struct(*[_places(x, n).alias(name) for name, (x, n) in places.items()]))
 
 
 def gps_input(rows: DataFrame, hacc: Column, ignore: int = 191) -> DataFrame:
