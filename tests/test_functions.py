@@ -118,3 +118,12 @@ def test_profiles_differ_where_they_should():
 
     assert (config.NATIVE_BATCH.min_inliers, config.NATIVE_BATCH.top_candidates, config.NATIVE_BATCH.quad_checks) == (15, 5, False)
     assert (config.LIVE.zoom, config.PASSIVE.query_keypoints, config.PASSIVE.capture_off_m, BATCH.ratio) == (18, 3000, 20.0, 0.75)
+
+
+def test_sidecar_places(spark):
+    """Ties of the scaled value go away from zero; nulls leave their field out."""
+    rows = spark.createDataFrame([(0.00005, -0.00005, 12.25), (1.23454, 1.23456, -0.25), (None, 359.99996, 7.0)], "roll double, pitch double, alt double")
+    j = tiles.attitude_json(F.col("roll"), F.col("pitch"), F.lit(90.0), F.col("alt"), F.lit(25.12345678), F.lit(121.5))
+    found = [r.a.asDict() for r in rows.select(F.from_json(j, tiles.ATTITUDE).alias("a")).collect()]
+    assert [(a["roll_deg"], a["pitch_deg"], a["alt_m"]) for a in found] == [(0.0001, -0.0001, 12.3), (1.2345, 1.2346, -0.3), (None, 360.0, 7.0)]
+    assert {(a["yaw_deg"], a["lat"], a["lon"]) for a in found} == {(90.0, 25.1234568, 121.5)}
