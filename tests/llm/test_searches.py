@@ -261,6 +261,21 @@ def test_window_owners_equal_brute_force(shared, monkeypatch):
         assert (suffix_dedup.window_owners(h[order], sized[order], ids[order]) == wanted[order]).all()
 
 
+def test_only_surroundings_that_can_hold_a_repeat_are_sorted(monkeypatch):
+    """Of many surroundings of one anchor, those that share 13 bytes beside it on a side go into suffix arrays, others not."""
+    met = []
+    for name in ("suffix_array", "suffix_arrays"):
+        monkeypatch.setattr(suffix_dedup, name, lambda text, *rest, f=getattr(suffix_dedup, name): (met.append(len(text)), f(text, *rest))[1])
+    side, rng = suffix_dedup.SIDE, np.random.default_rng(6)
+    sized = np.concatenate([rng.integers(97, 123, (300, 2 * side)), np.full((300, 2), side)], 1).astype(np.uint8)
+    h, ids = np.ones(300, np.uint64), np.arange(300)
+    assert (suffix_dedup.window_owners(h, sized, ids) == ids[:, None]).all() and not met
+    sized[9, 10 : side + 10] = sized[4, 10 : side + 10]  # ten bytes from the right of it and sixteen from the left: windows 10 only
+    owners = suffix_dedup.window_owners(h, sized, ids)
+    assert owners[9, 10] == 4 and (np.delete(owners, 9, 0) == np.delete(ids, 9)[:, None]).all() and (np.delete(owners[9], 10) == 9).all()
+    assert 0 < sum(met) <= 2 * (side + 2)
+
+
 def brute_repeats(rows, n=50):
     own = {}
     for d, t in rows:

@@ -9,8 +9,9 @@ A byte goes if a string of `length` (50) bytes that covers it also starts in a d
 2. Text of a shard: a second pass sends it the text around its anchors (up to 26 bytes on both sides: all 50-byte strings
    that hold the anchor), with the smallest id that has it. Text that is the same on both sides travels and is sorted once.
 3. Suffix arrays over a shard's text bring equal strings together, whatever differs around them; each string learns the
-   smallest id that has it. A text is what surrounds one anchor; many texts are sorted in lockstep. Where an anchor has the
-   same surroundings everywhere there is nothing to sort.
+   smallest id that has it. A text is what surrounds one anchor and 13 bytes on a side of it, which every string holds on
+   the left or on the right; many texts are sorted in lockstep. Where those have the same surroundings everywhere there is
+   nothing to sort.
 4. Those ids go back to the batch of documents that sent the text, which turns them into spans of its documents; spans meet
    their documents by id.
 
@@ -19,8 +20,8 @@ previous smaller positions of a group's suffixes move to groups of their own jus
 these pointers then emits the order within the groups, with no renaming or recursion.
 
 A passage in a third of all documents sends its text once for each batch; its occurrences stay with their batch, so no
-task holds all of them. An anchor with more than TEXT_STRINGS different surroundings is cut into texts by what its strings
-hold beside the gram, exactly. Shards and buckets are many, partitions at most MOST_PARTS, one after another in each.
+task holds all of them. A text of more than TEXT_STRINGS different surroundings is cut by what else its strings hold,
+exactly. Shards and buckets are many, partitions at most MOST_PARTS, one after another in each.
 
 Defined cases: null and empty texts have no bytes; rows with a null id lose nothing and take nothing from others; rows
 that repeat an id do not count as smaller than each other; texts shorter than `length` are kept; an empty table gives an
@@ -44,8 +45,9 @@ from tilewright.llm.common import staged, text_batches, utf8
 
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM
-#: First and last window of the ranges that an anchor's texts are cut to when they are too many.
-RANGES = (((0, SIDE),), ((0, 8), (9, 17), (18, SIDE)), tuple((j, j) for j in range(SIDE + 1)))
+#: First and last window of the ranges that an anchor's texts are cut to: halves, whose windows share 37 bytes, and finer
+#: ones, each within one before, when there are too many.
+RANGES = (((0, 13), (14, SIDE)), ((0, 6), (7, 13), (14, 20), (21, SIDE)), tuple((j, j) for j in range(SIDE + 1)))
 #: Bytes of text for each shard, bytes of text for each final bucket, bits of the filter for each hash and at most.
 SHARD_BYTES, BUCKET_BYTES, FILTER_BITS, FILTER_MOST = 4 << 20, 12 << 20, 12, 1 << 29
 MOST_PARTS = 8192
@@ -128,7 +130,7 @@ def suffix_array(text: list[int], ends: list[int]) -> list[int]:
     g = bottom
     while g >= 0:
         start[g] = at
-        at += sum(1 for j in members[g] if group[j] == g)
+        at += len(members[g])
         g = above[g]
     sa = [-1] * n
     placed = bytearray(n)
@@ -286,13 +288,14 @@ def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, found = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     width = LENGTH - GRAM + 1
     parts = [(at, found)]
+    short = np.minimum(np.diff(ends, prepend=0), LENGTH - 1)  # so many last bytes of a document start no string
+    whole = np.ones(len(b), bool)
+    whole[np.arange(short.sum()) + np.repeat(ends - np.cumsum(short), short)] = False
     for a in range(0, len(b) - LENGTH + 1, SEGMENT):  # by first bytes of strings
         piece = b[a : a + SEGMENT + LENGTH - 1]
         h = _gram_hashes(piece)
         least = _slid(h, width, np.minimum)
-        first = np.arange(a, a + len(least))
-        fits = ends[np.minimum(np.searchsorted(ends, first, "right"), len(ends) - 1)] - first >= LENGTH
-        least = np.where(fits, least, 0)
+        least *= whole[a : a + len(least)]
         none = np.zeros(width - 1, np.uint64)
         chosen = np.flatnonzero((_slid(np.concatenate([none, least, none]), width, np.maximum) == h) & (h > 0))
         parts.append((chosen + a, h[chosen]))
@@ -352,12 +355,13 @@ def _send_hashes(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
     for b in batches:
         x = _Batch(b.column(0), b.column(1))
         ids, shard, key = x.ids[x.doc], _shards_of(x.hash, shards), _keys(x.hash)
-        order = np.lexsort((ids, key, shard))
-        shard, key, ids = shard[order], key[order], ids[order]
-        new = (np.diff(shard, prepend=-1) != 0) | (np.diff(key.astype(np.int64), prepend=-1) != 0)
-        first = np.flatnonzero(new)
-        several = (ids[first] != ids[np.append(first[1:], len(ids)) - 1]) if len(first) else np.zeros(0, bool)
-        rows = [(s, pack(key[first][k], several[k].view(np.uint8))) for s, k in _split(shard[first], shards)]
+        both = shard.astype(np.uint64) << np.uint64(32) | key
+        order = np.argsort(both)
+        both, ids = both[order], ids[order]
+        first = np.flatnonzero(np.diff(both, prepend=~both[:1]))
+        several = (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)) if len(first) else np.zeros(0, bool)
+        shard, key = (both[first] >> np.uint64(32)).astype(np.int64), both[first].astype(np.uint32)
+        rows = [(s, pack(key[k], several[k].view(np.uint8))) for s, k in _split(shard, shards)]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
 
 
@@ -432,11 +436,21 @@ class Filter:
 # The second pass: contexts and occurrences
 
 
+def _words(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as columns of 8 bytes, filled up with zeros."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return np.ascontiguousarray(wide.view(np.uint64).T)
+
+
 def _row_hash(rows: np.ndarray) -> np.ndarray:
     out = np.zeros(len(rows), np.uint64)
-    for c in range(rows.shape[1]):
-        out = (out ^ _OF_BYTE[rows[:, c]]) * _MULTIPLIERS[2]
-        out ^= out >> np.uint64(31)
+    for word in _words(rows):
+        for shift, multiplier in ((31, _MULTIPLIERS[2]), (29, _MULTIPLIERS[3])):
+            word = word * multiplier
+            word ^= word >> np.uint64(shift)
+        out = (out ^ word) * _MULTIPLIERS[0]
+        out ^= out >> np.uint64(32)
     return out
 
 
@@ -451,17 +465,21 @@ def _send_contexts(batches: Iterator[pa.RecordBatch], shared, shards: int) -> It
         right = np.minimum(SIDE, x.ends[doc] - at - GRAM)
         padded = np.concatenate([np.zeros(SIDE, np.uint8), x.bytes, np.zeros(SIDE, np.uint8)])
         steps = np.arange(SIDE)
-        sides = np.concatenate([padded[at[:, None] + steps], padded[at[:, None] + SIDE + GRAM + steps]], 1)
-        sides[:, :SIDE][steps < SIDE - left[:, None]] = 0
-        sides[:, SIDE:][steps >= right[:, None]] = 0
-        sized = np.concatenate([sides, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], 1)
+        around = np.lib.stride_tricks.sliding_window_view(padded, SIDE + LENGTH)[at]
+        sized = np.concatenate([around[:, :SIDE], around[:, SIDE + GRAM :], left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], 1)
+        near, far = np.flatnonzero(left < SIDE), np.flatnonzero(right < SIDE)
+        sized[near, :SIDE] *= steps >= SIDE - left[near, None]
+        sized[far, SIDE : 2 * SIDE] *= steps < right[far, None]
         key, ids = _row_hash(sized), x.ids[doc]
-        order = np.lexsort((ids, key, h, _shards_of(h, shards)))
-        h, key, ids, doc, at, sized = h[order], key[order], ids[order], doc[order], at[order] - (x.ends - x.sizes)[doc[order]], sized[order]
+        shard = _shards_of(h, shards)
+        order = np.argsort(shard.astype(np.uint64) << np.uint64(44) | h >> np.uint64(40) << np.uint64(20) | key >> np.uint64(44))  # equal texts that this parts go twice
+        h, key, ids, doc, shard = h[order], key[order], ids[order], doc[order], shard[order]
+        at = at[order] - (x.ends - x.sizes)[doc]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])]) if len(h) else np.zeros(0, bool)
         first, context = np.flatnonzero(new), np.cumsum(new) - 1
+        least = np.minimum.reduceat(ids, first) if len(first) else ids
         batch = f"{TaskContext.get().partitionId()}/{n}"
-        rows = [(s, 0, batch, pack(h[first][k], ids[first][k], sized[first][k].ravel())) for s, k in _split(_shards_of(h[first], shards), shards)]
+        rows = [(s, 0, batch, pack(h[first[k]], least[k], sized[order[first[k]]].ravel())) for s, k in _split(shard[first], shards)]
         docs, local = np.unique(doc, return_inverse=True)
         marks = np.array([xxhash.xxh64_intdigest(x.texts[d]) for d in docs.tolist()], np.uint64)
         if len(at):
@@ -507,11 +525,15 @@ def _sorted_windows(frame: np.ndarray, there: np.ndarray, fits: np.ndarray, cls:
     first = np.flatnonzero(np.diff(cls, prepend=-1))
     sizes = np.add.reduceat(there.sum(1), first)
     is_end = text == 0
-    if len(text) >= SHARED_STEPS * sizes.max():
-        sa = suffix_arrays(text, is_end, sizes)
-    else:
-        stops = np.cumsum(sizes)
-        sa = np.concatenate([np.array(suffix_array(text[a:z].tolist(), np.flatnonzero(is_end[a:z]).tolist()), np.int64) + a for a, z in zip((stops - sizes).tolist(), stops.tolist(), strict=True)])
+    stops = np.cumsum(sizes)
+    order = np.argsort(sizes, kind="stable")
+    shared = np.flatnonzero(np.cumsum(sizes[order]) >= SHARED_STEPS * sizes[order])
+    together = np.isin(np.arange(len(sizes)), order[: shared[-1] + 1]) if len(shared) else np.zeros(len(sizes), bool)
+    found = [np.array(suffix_array(text[a:z].tolist(), np.flatnonzero(is_end[a:z]).tolist()), np.int64) + a for a, z in zip((stops - sizes)[~together].tolist(), stops[~together].tolist(), strict=True)]
+    if together.any():
+        at = np.flatnonzero(np.repeat(together, sizes))
+        found.append(at[suffix_arrays(text[at], is_end[at], sizes[together])])
+    sa = np.concatenate(found)
     width = fits.shape[1]
     starts = np.zeros(there.shape, bool)
     starts[:, :width] = fits
@@ -526,18 +548,19 @@ def _sorted_windows(frame: np.ndarray, there: np.ndarray, fits: np.ndarray, cls:
     return owner
 
 
-def window_owners(h: np.ndarray, sized: np.ndarray, ids: np.ndarray, depth: int = 0) -> np.ndarray:
+def window_owners(h: np.ndarray, sized: np.ndarray, ids: np.ndarray, depth: int = 0, within: tuple[int, int] = (0, SIDE)) -> np.ndarray:
     """For each different context (hash of its anchor, sides with their sizes, smallest id) and each of its SIDE + 1
     windows: the smallest id of all contexts that have that window, NEVER where the document ends before it.
 
     The windows of a range share what lies between its first and its last; with the anchor's gram that is one symbol of a
-    text, the class of the row. Classes of more than TEXT_STRINGS rows are cut again, into shorter ranges.
+    text, the class of the row. Classes of more than TEXT_STRINGS rows are cut again, into shorter ranges. Only windows
+    `within` are looked at.
     """
     owners = np.full((len(h), SIDE + 1), NEVER)
     left, right = sized[:, 2 * SIDE].astype(np.int64), sized[:, 2 * SIDE + 1].astype(np.int64)
     for j0, j1 in RANGES[depth]:
         reach = j1 - j0
-        use = np.flatnonzero((left >= SIDE - j1) & (right >= j0))
+        use = np.flatnonzero((left >= SIDE - j1) & (right >= j0)) if within[0] <= j0 and j1 <= within[1] else ()
         if not len(use):
             continue
         before, after = sized[use, j0:j1], sized[use, SIDE + j0 : SIDE + j1]
@@ -563,7 +586,7 @@ def window_owners(h: np.ndarray, sized: np.ndarray, ids: np.ndarray, depth: int
             owner[part] = _sorted_windows(frame[part], there[part], fits[part], cls[part], least[part])
         if many.any():
             cut = np.flatnonzero(many)
-            owner[cut] = window_owners(h_of[cut], sized[use][rows][cut], least[cut], depth + 1)[:, j0 : j1 + 1]
+            owner[cut] = window_owners(h_of[cut], sized[use[rows[cut]]], least[cut], depth + 1, (j0, j1))[:, j0 : j1 + 1]
         owners[use, j0 : j1 + 1] = owner[member]
     return owners
 
