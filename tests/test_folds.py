@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,14 @@ def rows_of(spark, keys, n=20):
     return spark.createDataFrame(rows, "flight bigint, msg bigint, ts timestamp, fix boolean, level boolean")
 
 
+def test_whole_keys_from_any_batches():
+    rows = pa.table({"flight": pa.array([None, None, 0, 0, 0, 0, 0, BIG, BIG + 1, BIG + 1], pa.int64()), "msg": list(range(10))})
+    for size in (1, 3, 20):
+        found = [x for part in telemetry.whole(iter(rows.to_batches(max_chunksize=size)), "flight") for x in part]
+        assert [(k, r["msg"].to_pylist()) for k, r in found] == [(None, [0, 1]), (0, [2, 3, 4, 5, 6]), (BIG, [7]), (BIG + 1, [8, 9])]
+    assert not list(telemetry.whole(iter(rows.slice(0, 0).to_batches()), "flight"))
+
+
 def test_keys_stay_apart_in_any_batch(spark, small_batches):
     rows = rows_of(spark, [None, BIG, BIG + 1, 0]).repartition(1)
     found = telemetry.throttle(rows, 4 * 3600).collect()

@@ -110,6 +110,31 @@ def test_degenerate_points():
     assert robust.similarity(line[:3], line[:3])[0] is None
 
 
+def test_samples_are_fitted_at_once(monkeypatch):
+    """One decomposition a fit, of the pairs themselves and not of their square; samples give what single fits give."""
+    met, svd = [], np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda *a, **b: (met.append(out := svd(*a, **b)), out)[1])
+    rng = np.random.default_rng(3)
+    src = rng.uniform(0, 600, (600, 2))
+    dst = src @ np.array([[1.1, 0.1], [-0.1, 1.1]]) + 5
+    dst[::3] += 60
+    for fit, calls in ((robust.homography, 1), (robust.similarity, 0)):
+        met.clear()
+        _, mask = fit(src, dst, seed=1)
+        assert mask.sum() == 400 and not mask[::3].any() and len(met) == calls
+        assert all(x[0].size < 20 * len(src) for x in met)
+    noise = dst + rng.normal(0, 30, dst.shape)
+    for sampled, single, n in ((robust._sampled_homographies, robust.fit_homography, 4), (robust._sampled_similarities, robust.fit_similarity, 2)):
+        pick = robust._samples(rng, len(src), n, 50)
+        assert all(len(set(x)) == n for x in pick.tolist()) and pick.min() >= 0 and pick.max() < len(src)
+        for m, k in zip(sampled(src[pick], noise[pick]), pick, strict=True):
+            assert np.allclose(m / m.ravel()[-1] if n == 4 else m, single(src[k], noise[k]), rtol=1e-5, atol=1e-5)
+    pick = robust._samples(rng, 5, 4, 4000)
+    assert pick.max() == 4 and abs(np.bincount(pick.ravel(), minlength=5) / 3200 - 1).max() < 0.1
+    flat = np.stack([src[:4], np.repeat(src[:1], 4, 0)])
+    assert len(robust._sampled_homographies(flat, noise[:8].reshape(2, 4, 2))) == 1 and len(robust._sampled_similarities(flat[:, :2], flat[:, :2])) == 1
+
+
 def test_crop_warp_and_grey():
     image = ground(100)
     part, left, top = features.central_crop(image)

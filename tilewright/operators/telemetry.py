@@ -78,6 +78,23 @@ def fold(rows: DataFrame, step: Callable[[object, pa.RecordBatch], tuple[object,
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
+def whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[tuple[object, pa.Table]]]:
+    """(key, its rows) of batches sorted by key, a list of them for each batch in which keys end."""
+    now, held = None, []
+    for batch in batches:
+        done = []
+        for k, a, b in _runs(batch.column(key)):
+            if held and k != now:
+                done.append((now, pa.Table.from_batches(held)))
+                held = []
+            now = k
+            held.append(batch.slice(a, b - a))
+        if done:
+            yield done
+    if held:
+        yield [(now, pa.Table.from_batches(held))]
+
+
 def _with(part: pa.RecordBatch, columns: list[str], name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.record_batch([*[part.column(c) for c in columns], values], names=[*columns, name])
 

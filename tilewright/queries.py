@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -728,21 +728,29 @@ SELECT flight, n, n - (n + 2) // 3 AS good, CASE WHEN n >= 8 THEN n - (n + 2) //
 def robust_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each flight's points moved by a known similarity and homography, every third one wrong, and what is found again."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("msg")
-        src = np.stack([(frame["lat"] - 25.02) * 7000, (frame["lon"] - 121.43) * 7000], 1)
-        k, t = 1 + (key[0] % 7) / 50, np.radians(key[0] % 31 - 15)
+    kinds = {"flight": pa.int64(), "n": pa.int64(), "good": pa.int64(), "similar": pa.int64(), "projective": pa.int64(), "scale": pa.float64()}
+
+    def fit(flight: int | None, lat: np.ndarray, lon: np.ndarray) -> tuple:
+        src = np.stack([(lat - 25.02) * 7000, (lon - 121.43) * 7000], 1)
+        f = flight or 0
+        k, t = 1 + (f % 7) / 50, np.radians(f % 31 - 15)
         move = np.array([[k * np.cos(t), -k * np.sin(t), 5.0], [k * np.sin(t), k * np.cos(t), -3.0]])
         dst = src @ move[:, :2].T + move[:, 2]
         dst[::3] += 40 + 10 * (np.arange(len(dst[::3])) % 5)[:, None]
-        m, inliers = robust.similarity(src, dst, seed=int(key[0]))
-        h, mask = robust.homography(src, dst, seed=int(key[0]))
-        good = int(len(src) - len(src[::3]))
-        return pd.DataFrame({"flight": [key[0]], "n": [len(src)], "good": [good], "similar": [int(inliers.sum())], "projective": [int(mask.sum())], "scale": [None if m is None else round(float(np.hypot(m[0, 0], m[1, 0])), 6)]})
-
-    return views.telemetry(spark, sf_dir).select("flight", "msg", "lat", "lon").groupBy("flight").applyInPandas(fit, "flight bigint, n bigint, good bigint, similar bigint, projective bigint, scale double")
+        m, inliers = robust.similarity(src, dst, seed=f)
+        h, mask = robust.homography(src, dst, seed=f)
+        good = len(src) - len(src[::3])
+        return flight, len(src), good, int(inliers.sum()), int(mask.sum()), None if m is None or flight is None else round(float(np.hypot(m[0, 0], m[1, 0])), 6)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for flights in telemetry.whole(batches, "flight"):
+            found = [fit(flight, *(rows[c].to_numpy() for c in ("lat", "lon"))) for flight, rows in flights]
+            yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    rows = views.telemetry(spark, sf_dir).select("flight", "msg", "lat", "lon")
+    return rows.repartition("flight").sortWithinPartitions("flight", "msg").mapInArrow(fitted, "flight bigint, n bigint, good bigint, similar bigint, projective bigint, scale double")
 
 
 # Whole runs
